@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import quality
+from . import quality, simhash
 
-QUERIES: dict[str, Callable] = {"op9_quality_rules": quality.op9}
+QUERIES: dict[str, Callable] = {
+    "op1_simhash_near_dedup": simhash.op1,
+    "op9_quality_rules": quality.op9,
+}
 ORACLES: dict[str, str] = {}
