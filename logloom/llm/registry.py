@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import quality, simhash
+from . import decontaminate, quality, simhash
 
 QUERIES: dict[str, Callable] = {
     "op1_simhash_near_dedup": simhash.op1,
+    "op2_benchmark_decontamination": decontaminate.op2,
     "op9_quality_rules": quality.op9,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
+}
