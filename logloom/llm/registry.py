@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, quality, secrets, simhash
 
 QUERIES: dict[str, Callable] = {
     "op1_simhash_near_dedup": simhash.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
+    "op8_secret_scans": secrets.op8,
     "op9_quality_rules": quality.op9,
 }
 ORACLES: dict[str, str] = {
