@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, langid, quality, secrets, simhash
+from . import decontaminate, langid, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_simhash_near_dedup": simhash.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op4_language_id": langid.op4,
+    "op5_toxicity": toxicity.op5,
     "op8_secret_scans": secrets.op8,
     "op9_quality_rules": quality.op9,
 }
