@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, langid, quality, secrets, simhash, toxicity
+from . import decontaminate, langid, quality, secrets, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable] = {
     "op1_simhash_near_dedup": simhash.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
+    "op3_url_filters": urlfilter.op3,
     "op4_language_id": langid.op4,
     "op5_toxicity": toxicity.op5,
     "op8_secret_scans": secrets.op8,
