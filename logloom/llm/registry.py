@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, langid, mixing, quality, secrets, simhash, substring, toxicity, urlfilter
+from . import decontaminate, langid, mixing, quality, secrets, simhash, substring, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_simhash_near_dedup": simhash.op1,
@@ -16,8 +16,10 @@ QUERIES: dict[str, Callable] = {
     "op7_mixing": mixing.op7,
     "op8_secret_scans": secrets.op8,
     "op9_quality_rules": quality.op9,
+    "op10_warc": warc.op10,
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
