@@ -171,7 +171,9 @@ def envelope(raw: Column, fmt: Column) -> Column:
 
 
 def _utc_iso(micros: Column) -> Column:
-    at = F.timestamp_micros(micros)
+    # Counted from a zone-free epoch, so the session's time zone does not matter.
+    seconds = (micros.cast("decimal(24,0)") / 1_000_000).cast("decimal(18,6)")
+    at = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     frac = F.pmod(micros, F.lit(1_000_000))
     part = F.when(frac == 0, "").otherwise(F.concat(F.lit("."), F.lpad(frac.cast("string"), 6, "0")))
     return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
