@@ -64,7 +64,9 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _t, _w, _n and the base statistics word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     out = _with_words(docs, text)
     out = out.withColumn("_l", _lines(F.col("_t")))
-    windows = F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))
+    # Windows of word hashes, so each word's characters are hashed once and not eight times.
+    out = out.withColumn("_u", F.transform("_w", lambda w: F.xxhash64(w)))
+    windows = F.transform(F.sequence(F.lit(1), F.size("_u") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_u", i, WINDOW)))
     out = out.withColumn("_h", F.when(F.col("_n") >= WINDOW, windows))
     # Only texts that have equal windows at all are sorted: then equal hashes stand side by side.
     ranked = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -129,7 +131,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     log-likelihood ratio is under ``threshold``. Internal columns start with ``_``.
     """
     weights = bucket_weights(docs, text)
-    out = with_base(docs, text).withColumn("_u", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_g", _grams("_u"))
+    out = with_base(docs, text).withColumn("_g", _grams("_u"))
     # Folded by the optimizer into one array literal.
     lookup = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
     total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.get(lookup, b))
