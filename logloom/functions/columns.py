@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that Python's strip() takes from ASCII text.
@@ -83,8 +83,9 @@ def pairs(items: dict[str, Column]) -> Column:
 
 
 def first_wins(entries: Column) -> Column:
-    """Map of (k, v) entries, the first of equal keys."""
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["k"]), e["k"]) == i + 1))
+    """Map of (k, v) entries, the first of equal keys. A fold, so the entries are made once."""
+    step = lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"])))
+    return F.aggregate(entries, F.map_from_arrays(F.array(), F.array()).cast(MAP), step)
 
 
 def as_map(items: dict[str, Column]) -> Column:
@@ -93,7 +94,7 @@ def as_map(items: dict[str, Column]) -> Column:
 
 def literal_map(items: dict[str, str]) -> Column:
     if not items:
-        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+        return F.map_from_arrays(F.array(), F.array()).cast(MAP)
     return F.create_map(*(F.lit(x) for kv in items.items() for x in kv))
 
 
@@ -112,3 +113,45 @@ def word(text: Column, *options: str) -> Column:
     for o in options:
         out = out | low.contains(o)
     return out
+
+
+def by_number(number: Column, values: list, kind: str = "string") -> Column:
+    """The number-th of fixed values (null where None): one array lookup."""
+    text = F.split(F.lit("\x02".join("" if v is None else str(v) for v in values)), "\x02")
+    return F.nullif(F.get(text, number), F.lit("")).cast(kind)
+
+
+def apart(column: Column) -> Column:
+    """The same value, in a projection of its own code.
+
+    In whole-stage code a CASE with many patterns can't be split into methods
+    and outgrows what the JVM compiles; a lambda keeps the projection out of it.
+    """
+    return F.get(F.transform(F.array(column), lambda x: x), 0)
+
+
+class Steps:
+    """Column definitions noted once and replayed on any DataFrame with the same input column.
+
+    Building large expressions costs more than planning them; noted steps are
+    kept for the life of the Spark context.
+    """
+
+    def __init__(self):
+        self.todo: list[tuple[str, object]] = []
+
+    def withColumn(self, name: str, column: Column) -> Steps:
+        return self.withColumns({name: column})
+
+    def withColumns(self, columns: dict[str, Column]) -> Steps:
+        self.todo.append(("with", columns))
+        return self
+
+    def drop(self, *names: str) -> Steps:
+        self.todo.append(("drop", names))
+        return self
+
+    def on(self, df: DataFrame) -> DataFrame:
+        for kind, what in self.todo:
+            df = df.withColumns(what) if kind == "with" else df.drop(*what)
+        return df

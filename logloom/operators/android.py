@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import Pattern, first_wins, literal_map, lookup, pairs, strip
+from ..functions.columns import Pattern, apart, first_wins, literal_map, lookup, pairs, strip
 from .parsed import TYPE, parsed, present
 
 # Layouts (a head that tells the layout, and the whole record).
@@ -40,46 +40,54 @@ def _object(text: Column) -> Column:
 
 
 def _lower(obj: Column) -> Column:
+    """The object with lower-case keys."""
     return first_wins(F.transform(F.map_entries(obj), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))))
 
 
-def detect(raw: Column) -> Column:
-    text = strip(raw)
+def detect(text: Column, keys: Column) -> Column:
+    """Layout of a stripped record; keys are the lower-case keys of its JSON object, if it is one."""
     first = F.substring_index(text, "\n", 1)
-    keys = F.map_keys(_lower(_object(text)))
     trio = F.arrays_overlap(keys, F.array(*map(F.lit, ("priority", "level", "pid"))))
-    out = F.when(F.coalesce(text.startswith("{") & F.array_contains(keys, "tag") & trio, F.lit(False)), "json")
+    out = F.when(F.coalesce(F.array_contains(keys, "tag") & trio, F.lit(False)), "json")
     for name, head in HEADS.items():
         out = out.when(first.rlike(head), name)
     return out
 
 
-def envelope(raw: Column, fmt: Column) -> Column:
-    text = strip(raw)
-    first = F.substring_index(text, "\n", 1)
-    out = F.lit(None)
+def layout_groups(text: Column, fmt: Column) -> Column:
+    """Groups of the record's layout; a head may fit and the whole not (several lines): then null."""
+    first = strip(F.substring_index(text, "\n", 1))
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for name, p in LAYOUTS.items():
+        of = first if name == "long" else text
+        out = out.when(fmt == name, F.when(p.found(of), p.groups(of)))
+    return out
+
+
+def envelope(text: Column, fmt: Column, groups: Column, low: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(None))
     for name, p in LAYOUTS.items():
-        of = strip(first) if name == "long" else text
-        g = p.groups(of)
-        get = lambda n: p.group(g, n) if n in p.names else F.lit(None).cast("string")  # noqa: B023, E731
-        msg = strip(F.regexp_replace(text, r"\A[^\n]*\n?", "")) if name == "long" else F.get(g, p.names.index("msg"))
+        get = lambda n: p.group(groups, n) if n in p.names else F.lit(None).cast("string")  # noqa: B023, E731
+        msg = strip(F.regexp_replace(text, r"\A[^\n]*\n?", "")) if name == "long" else F.get(groups, p.names.index("msg"))
         made = F.struct(get("ts").alias("timestamp"), get("prio").alias("priority"), strip(get("tag")).alias("tag"), get("pid").alias("pid"), get("tid").alias("tid"), msg.alias("message"))
-        # A head may fit and the whole not (several lines): then the record is not taken.
-        out = F.when(fmt == name, F.when(p.found(of), made)).otherwise(out)
-    low = _lower(_object(text))
+        out = F.when((fmt == name) & groups.isNotNull(), made) if name == "long" else out.when((fmt == name) & groups.isNotNull(), made)
     some = lambda *names: F.coalesce(*(F.nullif(F.element_at(low, n), F.lit("")) for n in names))
     letter = F.upper(F.substring(some("priority", "level", "prio"), 1, 1))
     record = F.struct(some("time", "timestamp").alias("timestamp"), F.when(letter.isin(*PRIORITIES), letter).alias("priority"), some("tag").alias("tag"), some("pid").alias("pid"), some("tid", "thread").alias("tid"), some("message", "msg").alias("message"))
-    return F.when(fmt == "json", record).otherwise(out)
+    return out.when(fmt == "json", record)
 
 
 def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -> DataFrame:
     """df with column _android: the parse struct or null."""
-    text = F.col(raw)
     may = F.lit(True) if open_if is None else open_if
-    out = df.withColumn("_af", F.when(may, detect(text))).withColumn("_ae", F.when(F.col("_af").isNotNull(), envelope(text, F.col("_af"))))
+    out = df.withColumn("_at", F.when(may, strip(F.col(raw))))
+    text = F.col("_at")
+    out = out.withColumn("_ao", F.when(text.startswith("{"), _object(text))).withColumn("_aj", F.when(F.col("_ao").isNotNull(), _lower(F.col("_ao"))))
+    out = out.withColumn("_af", F.when(text.isNotNull(), apart(detect(text, F.map_keys("_aj"))))).withColumn("_ag", F.when(F.col("_af").isNotNull(), apart(layout_groups(text, F.col("_af")))))
+    out = out.withColumn("_ae", F.when(F.col("_af").isNotNull(), envelope(text, F.col("_af"), F.col("_ag"), F.col("_aj"))))
     e, fmt = F.col("_ae"), F.col("_af")
-    tag = F.lower(strip(F.coalesce(e["tag"], F.lit(""))))
+    out = out.withColumn("_al", F.when(e.isNotNull(), F.lower(strip(F.coalesce(e["tag"], F.lit(""))))))
+    tag = F.col("_al")
     verb = {k: v[0] for k, v in VERBS.items()}
     among = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: tag.contains(w))
     kind = F.when(tag.isin(*VERBS), 1).when(among(NETWORK_TAGS), 2).when(among(PROCESS_TAGS), 3).otherwise(4)
@@ -89,7 +97,7 @@ def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -
     numeric = e["timestamp"].rlike(r"^\d[^ ]*-[^ ]*\s+\S+$")
     day = F.split(F.substring_index(e["timestamp"], " ", 1), "-")
     split_day = F.coalesce(numeric & (F.size(F.split(e["timestamp"], r"\s+")) == 2), F.lit(False))
-    extra = F.when(fmt == "json", F.transform(F.map_entries(_object(strip(text))), lambda x: F.struct(x["key"].alias("k"), x["value"].alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+    extra = F.when(fmt == "json", F.transform(F.map_entries(F.col("_ao")), lambda x: F.struct(x["key"].alias("k"), x["value"].alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
     extra = F.filter(extra, lambda x: x["v"].isNotNull() & ~x["v"].isin("", "-"))
     base = pairs({"month": F.when(split_day, F.get(day, 0)), "day": F.when(split_day, F.array_join(F.slice(day, 2, 9), "-")), "time": F.when(split_day, F.element_at(F.split(e["timestamp"], r"\s+"), -1)), "timestamp": F.when(~split_day, e["timestamp"]), "level": e["priority"], "tag": e["tag"], "pid": e["pid"], "tid": e["tid"], "message": e["message"]})
     service = F.nullif(F.regexp_extract(F.coalesce(e["message"], F.lit("")), SERVICE, 1), F.lit(""))
@@ -101,4 +109,4 @@ def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -
         activity_id=lookup({1: 1, 2: 6, 3: 0, 4: 0}, k, "int"), activity_name=F.when(k == 1, lookup({n: v[1] for n, v in VERBS.items()}, tag)).otherwise(lookup({2: "Traffic", 3: "Process Activity", 4: "Log"}, k)),
         f=first_wins(F.concat(base, extra)), m=literal_map(MAPPING), native=native, core=present(e["timestamp"], e["priority"], e["tag"], e["pid"], e["message"]),
     )
-    return out.withColumn("_android", F.when(e.isNotNull(), made).cast(TYPE)).drop("_af", "_ae", "_ak")
+    return out.withColumn("_android", F.when(e.isNotNull(), made).cast(TYPE)).drop("_at", "_ao", "_aj", "_af", "_ag", "_ae", "_al", "_ak")

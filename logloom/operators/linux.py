@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import Pattern, as_map, first_wins, literal_map, pairs, strip, word
+from ..functions.columns import Pattern, apart, as_map, by_number, first_wins, literal_map, pairs, strip, word
 from .parsed import TYPE, parsed, present
 
 # Syslog severity words by number; parser ids by format.
@@ -108,12 +108,10 @@ def journal(text: Column) -> Column:
     return first_wins(F.transform(F.map_entries(obj), lambda e: F.struct(F.upper(e["key"]).alias("k"), e["value"].alias("v"))))
 
 
-def detect(raw: Column) -> Column:
-    """Linux format of a record, null if it is none."""
-    text = strip(raw)
+def detect(text: Column, keys: Column) -> Column:
+    """Linux format of a stripped record, null if it is none; keys are those of its JSON object, if it is one."""
     first = F.substring_index(text, "\n", 1)
-    keys = F.map_keys(journal(text))
-    is_journal = text.startswith("{") & F.array_contains(keys, "MESSAGE") & F.arrays_overlap(keys, F.array(*map(F.lit, JOURNAL_KEYS)))
+    is_journal = F.array_contains(keys, "MESSAGE") & F.arrays_overlap(keys, F.array(*map(F.lit, JOURNAL_KEYS)))
     plain = ~first.rlike(APPLE)
     return (
         F.when(F.coalesce(is_journal, F.lit(False)), "journald_json")
@@ -137,14 +135,18 @@ def _word_of(pri: Column) -> Column:
     return F.get(F.array(*map(F.lit, SEVERITIES)), pri.try_cast("int").bitwiseAND(F.lit(7)))
 
 
-def envelope(raw: Column, fmt: Column) -> Column:
-    """The envelope struct of a record of the given format."""
-    text = strip(raw)
+def format_groups(text: Column, fmt: Column) -> Column:
+    """Groups of the pattern of the record's format."""
+    first = F.substring_index(text, "\n", 1)
+    return F.when(fmt == "rfc3164", RFC3164.groups(text)).when(fmt == "rfc5424", RFC5424.groups(text)).when(fmt == "auditd", AUDIT.groups(text)).when(fmt == "dmesg", DMESG.groups(first))
+
+
+def envelope(text: Column, fmt: Column, groups: Column, obj: Column) -> Column:
+    """The envelope struct of a record of the given format, from its groups or JSON object."""
     dash = lambda c: F.nullif(c, F.lit("-"))
-    a = RFC3164.groups(text)
+    a = b = d = u = groups
     g = lambda n: RFC3164.group(a, n)
     syslog = _envelope(text, month=g("month"), day=g("day"), time=g("time"), hostname=g("host"), program=g("program"), pid=g("pid"), level=_word_of(g("pri")), message=F.rtrim(F.get(a, RFC3164.names.index("message"))), native=as_map({"pri": g("pri").try_cast("int")}))
-    b = RFC5424.groups(text)
     h = lambda n: RFC5424.group(b, n)
     rest = strip(F.coalesce(h("rest"), F.lit("")))
     # Structured data runs to the bracket that closes the first one; brackets within are counted.
@@ -152,11 +154,9 @@ def envelope(raw: Column, fmt: Column) -> Column:
     message = F.when(sd == "", rest).otherwise(strip(F.substring(rest, F.length(sd) + 1, F.length(rest))))
     facility = F.shiftright(h("pri").try_cast("int"), 3)
     modern = _envelope(text, timestamp=h("ts"), hostname=dash(h("host")), program=dash(h("program")), pid=dash(h("pid")), level=_word_of(h("pri")), message=message, native=as_map({"pri": h("pri").try_cast("int"), "facility": facility, "syslog_version": h("version"), "msgid": dash(h("msgid")), "structured_data": sd}))
-    d = DMESG.groups(F.substring_index(text, "\n", 1))
     body = strip(DMESG.group(d, "message"))
     system = F.regexp_extract(body, r"^([\w.\-]+):\s+", 1)
     kernel = _envelope(text, program=F.when(system == "", "kernel").otherwise(system), message=body, native=as_map({"uptime": DMESG.group(d, "uptime")}))
-    u = AUDIT.groups(text)
     k = lambda n: AUDIT.group(u, n)
     more = strip(F.coalesce(k("rest"), F.lit("")))
     micro = F.round(k("epoch").try_cast("decimal(20,6)") * 1_000_000).cast("bigint")
@@ -164,7 +164,7 @@ def envelope(raw: Column, fmt: Column) -> Column:
     noted = F.zip_with(F.regexp_extract_all(more, F.lit(AUDIT_PAIR), F.lit(1)), values, lambda x, y: F.struct(x.alias("k"), y.alias("v")))
     own = pairs({"audit_type": k("type"), "audit_epoch": k("epoch"), "audit_serial": k("serial")})
     audit = _envelope(text, program=F.lit("auditd"), timestamp=_utc_iso(micro), message=strip(F.concat_ws(" ", k("type"), more)), native=first_wins(F.concat(own, F.filter(noted, lambda e: ~e["v"].isin("", "-")))))
-    j = journal(text)
+    j = obj
     get = lambda *names: F.coalesce(*(F.nullif(F.element_at(j, n), F.lit("")) for n in names))
     journald = _envelope(text, timestamp=_utc_iso(get("__REALTIME_TIMESTAMP").try_cast("bigint")), hostname=get("_HOSTNAME"), program=get("SYSLOG_IDENTIFIER", "_COMM", "UNIT", "_SYSTEMD_UNIT"), pid=get("_PID", "SYSLOG_PID"), level=_word_of(get("PRIORITY")), message=get("MESSAGE"), native=F.map_filter(j, lambda n, v: (n != "MESSAGE") & v.isNotNull() & ~v.isin("", "-")))
     return F.when(fmt == "rfc3164", syslog).when(fmt == "rfc5424", modern).when(fmt == "dmesg", kernel).when(fmt == "auditd", audit).when(fmt == "journald_json", journald)
@@ -193,20 +193,22 @@ def rule_of(program: Column, message: Column) -> Column:
     return out
 
 
-def _by_rule(rule: Column, values: list, kind: str) -> Column:
-    text = F.split(F.lit("\x02".join("" if v is None else str(v) for v in values)), "\x02")
-    got = F.nullif(F.get(text, rule), F.lit(""))
-    return got.cast(kind)
+def rule_groups(rule: Column, message: Column) -> Column:
+    """Groups of the pattern of the rule that fits."""
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for i, r in enumerate(RULES):
+        if r.fields:
+            out = out.when(rule == i, r.pattern.groups(message))
+    return out
 
 
-def rule_fields(rule: Column, message: Column) -> Column:
+def rule_fields(rule: Column, groups: Column, message: Column) -> Column:
     """Promoted (k, v) pairs of the rule that fits."""
     out = F.when(F.lit(False), pairs({}))
     for i, r in enumerate(RULES):
         if not r.fields:
             continue
-        g = r.pattern.groups(message)
-        made = {n: r.pattern.group(g, n) for n in r.fields}
+        made = {n: r.pattern.group(groups, n) for n in r.fields}
         if "command" in made:
             made["command"] = strip(made["command"])
         if "auth_protocol" in made:
@@ -214,7 +216,7 @@ def rule_fields(rule: Column, message: Column) -> Column:
         if i == PACKET_RULE:
             made["fw_action"] = fw_action(message)
         out = out.when(rule == i, pairs(made))
-    return out.otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+    return out.otherwise(pairs({}))
 
 
 def fw_action(message: Column) -> Column:
@@ -224,33 +226,36 @@ def fw_action(message: Column) -> Column:
 
 def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -> DataFrame:
     """df with column _linux: the parse struct, null where the record is not for this family (or open_if is false)."""
-    text = F.col(raw)
+    # Each step is a column of its own, so what later steps share is worked out once.
     may = F.lit(True) if open_if is None else open_if
-    out = df.withColumn("_lf", F.when(may, detect(text)))
-    out = out.withColumn("_le", F.when(F.col("_lf").isNotNull(), envelope(text, F.col("_lf"))))
+    out = df.withColumn("_lt", F.when(may, strip(F.col(raw))))
+    text, fmt = F.col("_lt"), F.col("_lf")
+    out = out.withColumn("_lj", F.when(text.startswith("{"), journal(text)))
+    out = out.withColumn("_lf", F.when(text.isNotNull(), apart(detect(text, F.map_keys("_lj"))))).withColumn("_lg", F.when(fmt.isNotNull(), apart(format_groups(text, fmt))))
+    out = out.withColumn("_le", F.when(fmt.isNotNull(), envelope(text, fmt, F.col("_lg"), F.col("_lj"))))
     e = F.col("_le")
     msg = F.coalesce(e["message"], F.lit(""))
     foreign = word(text, "filterlog", "socketfilterfw") | ((F.lower(e["program"]) == "sshd") & msg.contains("SRC=") & msg.contains("DST="))
-    out = out.withColumn("_lr", F.when(F.col("_le").isNotNull() & ~F.coalesce(foreign, F.lit(False)), rule_of(e["program"], e["message"])))
+    out = out.withColumn("_lr", F.when(fmt.isNotNull() & ~F.coalesce(foreign, F.lit(False)), apart(rule_of(e["program"], e["message"]))))
     rule = F.col("_lr")
     stamp = e["month"].isNotNull() & e["day"].isNotNull() & e["time"].isNotNull()
     base = pairs({"month": F.when(stamp, e["month"]), "day": F.when(stamp, e["day"]), "time": F.when(stamp, e["time"]), "timestamp": F.when(~stamp, e["timestamp"]), "level": e["level"], "hostname": e["hostname"], "program": e["program"], "pid": e["pid"], "message": e["message"]})
-    promoted = out.withColumn("_lp", F.when(rule.isNotNull(), rule_fields(rule, msg)))
+    promoted = out.withColumn("_lh", F.when(rule.isNotNull(), apart(rule_groups(rule, msg)))).withColumn("_lp", F.when(rule.isNotNull(), rule_fields(rule, F.col("_lh"), msg)))
     fields = F.map_from_entries(F.concat(base, F.col("_lp")))
-    mapping = F.lit(None)
-    for i, r in enumerate(RULES):
-        mapping = F.when(rule == i, literal_map(BASE | r.mapping)).otherwise(mapping)
+    mapping = F.when(rule == 0, literal_map(BASE | RULES[0].mapping))
+    for i, r in enumerate(RULES[1:], 1):
+        mapping = mapping.when(rule == i, literal_map(BASE | r.mapping))
     blocked = (rule == PACKET_RULE) & F.coalesce(fw_action(msg).isin(*BLOCKING), F.lit(False))
     replaced = F.when(rule.isin(*[i for i, r in enumerate(RULES) if r.replaces]), F.array(F.lit("program"))).otherwise(F.array().cast("array<string>"))
     block = pairs({"format": F.col("_lf"), "hostname": e["hostname"], "program": e["program"], "pid": e["pid"], "level": e["level"], "timestamp": e["timestamp"], "message": e["message"]})
     native = F.map_concat(F.map_from_entries(block), F.map_from_entries(F.transform(F.map_entries(e["native"]), lambda x: F.struct(F.concat(F.lit("native."), x["key"]).alias("k"), x["value"].alias("v")))))
     ids = F.create_map(*(F.lit(x) for kv in PARSER_IDS.items() for x in kv))
     made = parsed(
-        family="linux", format=F.col("_lf"), parser_id=F.element_at(ids, F.col("_lf")), source_name=_by_rule(rule, [r.source for r in RULES], "string"), os_family="Linux",
-        category=_by_rule(rule, [r.category for r in RULES], "string"), class_uid=_by_rule(rule, [r.class_uid for r in RULES], "int"),
-        activity_id=_by_rule(rule, [r.activity[0] for r in RULES], "int"), activity_name=_by_rule(rule, [r.activity[1] for r in RULES], "string"),
-        severity_id=F.when(blocked, 3).otherwise(_by_rule(rule, [r.severity for r in RULES], "int")),
-        status=F.when(blocked, "Failure").otherwise(_by_rule(rule, [r.status and r.status[0] for r in RULES], "string")), status_id=F.when(blocked, 2).otherwise(_by_rule(rule, [r.status and r.status[1] for r in RULES], "int")),
+        family="linux", format=F.col("_lf"), parser_id=F.element_at(ids, F.col("_lf")), source_name=by_number(rule, [r.source for r in RULES], "string"), os_family="Linux",
+        category=by_number(rule, [r.category for r in RULES], "string"), class_uid=by_number(rule, [r.class_uid for r in RULES], "int"),
+        activity_id=by_number(rule, [r.activity[0] for r in RULES], "int"), activity_name=by_number(rule, [r.activity[1] for r in RULES], "string"),
+        severity_id=F.when(blocked, 3).otherwise(by_number(rule, [r.severity for r in RULES], "int")),
+        status=F.when(blocked, "Failure").otherwise(by_number(rule, [r.status and r.status[0] for r in RULES], "string")), status_id=F.when(blocked, 2).otherwise(by_number(rule, [r.status and r.status[1] for r in RULES], "int")),
         f=fields, m=mapping, replaced=replaced, native=native, core=present(F.coalesce(e["timestamp"], F.when(stamp, e["time"])), e["hostname"], e["program"], e["pid"], e["level"], e["message"]),
     )
-    return promoted.withColumn("_linux", F.when(rule.isNotNull(), made).cast(TYPE)).drop("_lf", "_le", "_lr", "_lp")
+    return promoted.withColumn("_linux", F.when(rule.isNotNull(), made).cast(TYPE)).drop("_lt", "_lj", "_lf", "_lg", "_le", "_lr", "_lh", "_lp")

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import Pattern, literal_map, pairs
+from ..functions.columns import Pattern, apart, by_number, literal_map, pairs
 from ..functions.parser_specs import FIELDS, SPECS
 from .parsed import TYPE, parsed
 
@@ -105,28 +105,36 @@ class Registry:
         may = F.lit(True) if open_if is None else open_if
         out = df.withColumn("_candidates", F.when(may, self.ranked(text)))
         best = F.get(F.col("_candidates"), 0)
-        out = out.withColumn("_win", F.when(best["score"] >= LEAST_SCORE, best["parser_id"]))
+        ids = F.array(*(F.lit(s["parser_id"]) for s in self.specs)).cast("array<string>")
+        out = out.withColumn("_win", F.when(best["score"] >= LEAST_SCORE, F.array_position(ids, best["parser_id"]).cast("int") - 1))
         win, conf = F.col("_win"), best["score"]
-        made = F.lit(None)
-        for s in self.specs:
+        none = F.when(F.lit(False), F.array().cast("array<string>"))
+        groups, fields, maps, statics = none, F.when(F.lit(False), pairs({})), F.when(F.lit(False), literal_map({})), F.when(F.lit(False), literal_map({}))
+        levels, states, internal = [], [], none
+        for i, s in enumerate(self.specs):
             p = Pattern(s["pattern"], "msd")
-            g = p.groups(text)
-            fields = pairs({n: p.group(g, n) for n in p.names if n})
+            groups = groups.when(win == i, F.when(p.found(text), p.groups(text)))
+            fields = fields.when(win == i, pairs({n: p.group(F.col("_rg"), n) for n in p.names if n}))
             # Targets and sources that start with an underscore stay internal.
-            m = {path: src for src, path in s["mapping"].items() if not src.startswith("_") and not path.startswith("_")}
+            hidden = [src for src, path in s["mapping"].items() if src.startswith("_") or path.startswith("_")]
+            maps = maps.when(win == i, literal_map({path: src for src, path in s["mapping"].items() if src not in hidden}))
             static = {k: str(v) for k, v in (s["static"] or {}).items() if not k.startswith("_")}
-            level = static.pop("severity_id", None)
+            levels.append(static.pop("severity_id", None))
             static.pop("severity", None)
-            status, status_id = static.pop("status", None), static.pop("status_id", None)
-            native = F.map_from_entries(self._cbs(text)) if s["parser_id"] == "WIN-CBS-001" else literal_map({})
-            internal = F.array(*(F.lit(src) for src, path in s["mapping"].items() if src.startswith("_") or path.startswith("_"))).cast("array<string>")
-            row = parsed(
-                family="ngre", format="registry", parser_id=s["parser_id"], source_name=s["source_name"], os_family=s["os_family"], category=s["category"], class_uid=int(s["class_uid"]),
-                activity_id=s["activity_id"], activity_name=s["activity_name"], severity_id=int(level) if level else None, status=status, status_id=int(status_id) if status_id else None,
-                f=F.map_from_entries(fields), m=literal_map(m), static=literal_map(static), native=native, confidence=conf, candidates=F.col("_candidates"), replaced=internal,
-            )
-            made = F.when(win == s["parser_id"], F.when(p.found(text), row).cast(TYPE)).otherwise(made)
-        return out.withColumn("_registry", made.cast(TYPE)).drop("_win")
+            states.append((static.pop("status", None), static.pop("status_id", None)))
+            if static:
+                statics = statics.when(win == i, literal_map(static))
+            if hidden:
+                internal = internal.when(win == i, F.array(*map(F.lit, hidden)))
+        out = out.withColumn("_rg", apart(groups))
+        of = lambda key, kind="string": by_number(win, [s[key] for s in self.specs], kind)
+        native = F.when(best["parser_id"] == "WIN-CBS-001", F.map_from_entries(self._cbs(text))).otherwise(literal_map({}))
+        made = parsed(
+            family="ngre", format="registry", parser_id=best["parser_id"], source_name=of("source_name"), os_family=of("os_family"), category=of("category"), class_uid=of("class_uid", "int"),
+            activity_id=of("activity_id", "int"), activity_name=of("activity_name"), severity_id=by_number(win, levels, "int"), status=by_number(win, [x for x, _ in states]), status_id=by_number(win, [x for _, x in states], "int"),
+            f=F.map_from_entries(fields), m=maps, static=statics.otherwise(literal_map({})), native=native, confidence=conf, candidates=F.col("_candidates"), replaced=internal.otherwise(F.array().cast("array<string>")),
+        )
+        return out.withColumn("_registry", F.when(F.col("_rg").isNotNull(), made).cast(TYPE)).drop("_win", "_rg")
 
     @staticmethod
     def _cbs(raw: Column) -> Column:

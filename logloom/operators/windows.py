@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import PAIRS, Pattern, first_wins, literal_map, lookup, pairs, strip
+from ..functions.columns import PAIRS, Pattern, apart, by_number, first_wins, literal_map, lookup, pairs, strip
 from .parsed import TYPE, parsed, present
 
 # Detection patterns, header labels and attribute names, column orders, label tables.
@@ -94,8 +94,8 @@ def _event(entries: Column, **given: Column) -> Column:
     return F.struct(*cols, first_wins(entries).alias("data"))
 
 
-def text_block(raw: Column) -> Column:
-    """Event of a text block: header labels, then labelled values under the sections of the message body."""
+def block_rows(raw: Column) -> Column:
+    """Labelled values of a text block, each with the section of the message body that it stands under."""
     state = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,k:string,v:string>>").alias("out"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -110,7 +110,11 @@ def text_block(raw: Column) -> Column:
             .otherwise(acc)
         )
 
-    rows = F.aggregate(_lines(raw), state, step, lambda a: a["out"])
+    return F.aggregate(_lines(raw), state, step, lambda a: a["out"])
+
+
+def text_block(rows: Column) -> Column:
+    """Event of a text block's rows: header labels, then the other labels, plain and under their section."""
     is_header = lambda e: F.lower(e["k"]).isin(*TEXT_HEADERS)
     first_of = first_wins(F.transform(F.filter(rows, lambda e: is_header(e) & (e["v"] != "")), lambda e: F.struct(F.lower(e["k"]).alias("k"), e["v"].alias("v"))))
     head = {field: F.element_at(first_of, label) for label, field in TEXT_HEADERS.items()}
@@ -126,16 +130,22 @@ def text_block(raw: Column) -> Column:
     return _event(F.concat(plain, under, acting), **head)
 
 
-def key_values(raw: Column) -> Column:
-    """Event of Key=value tokens; null without provider and event id."""
+def key_rows(raw: Column) -> Column:
+    """Key=value tokens of a record's joined lines."""
     joined = F.array_join(F.filter(F.transform(_lines(raw), strip), lambda x: x != ""), " ")
     keys = F.regexp_extract_all(joined, F.lit(KV_PAIR), F.lit(1))
     values = F.transform(F.regexp_extract_all(joined, F.lit(KV_PAIR), F.lit(2)), lambda v: strip(F.btrim(strip(v), F.lit('"'))))
-    entries = F.filter(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: ~e["v"].isin("", "-"))
+    every = F.filter(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: ~e["v"].isin("", "-"))
+    return F.transform(every, lambda e: F.struct(F.lit("").alias("section"), e["k"].alias("k"), e["v"].alias("v")))
+
+
+def key_values(entries: Column) -> Column:
+    """Event of key rows; null without provider and event id."""
     low = first_wins(F.filter(F.transform(entries, lambda e: F.struct(lookup(KV_HEADERS, F.lower(e["k"])).alias("k"), e["v"].alias("v"))), lambda e: e["k"].isNotNull()))
     head = {field: F.element_at(low, field) for field in sorted(set(KV_HEADERS.values()))}
     head["level"] = F.coalesce(lookup(LEVELS, head["level"]), head["level"])
-    return F.when(F.coalesce(head["provider"], head["event_id"]).isNotNull(), _event(entries, **head))
+    plain = F.transform(entries, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
+    return F.when(F.coalesce(head["provider"], head["event_id"]).isNotNull(), _event(plain, **head))
 
 
 def _plain(text: Column) -> Column:
@@ -159,31 +169,35 @@ def event_xml(raw: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), _event(F.filter(named, lambda e: ~e["v"].isin("", "-")), **head))
 
 
-def table_row(raw: Column, order: list[str], name: str, event_id: Column | None) -> Column:
-    """Event of the first data row under its #Fields line, or the usual column order."""
+def table_rows(raw: Column, order: list[str]) -> Column:
+    """Columns of the first data row, named by the #Fields line above it or the usual order; null without a data row."""
     lines = _lines(raw)
-    at = F.array_position(F.transform(lines, lambda x: (x != "") & ~x.startswith("#")), True)
-    row = F.split(strip(F.get(lines, (at - 1).cast("int"))), r"\s+")
-    heads = F.filter(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), lambda x: x.startswith("#Fields:"))
-    listed = F.split(strip(F.substring(F.element_at(F.when(F.size(heads) > 0, heads), -1), 9, 100000)), r"\s+")
-    names = F.coalesce(listed, F.array(*map(F.lit, order)))
-    n = F.least(F.size(names), F.size(row))
-    every = F.zip_with(F.slice(names, 1, n), F.slice(row, 1, n), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    get = F.map_from_entries(every)
-    stamp = F.concat_ws(" ", F.element_at(get, "date"), F.element_at(get, "time"))
-    both = F.element_at(get, "date").isNotNull() & F.element_at(get, "time").isNotNull()
-    made = _event(F.filter(every, lambda e: ~e["v"].isin("", "-")), provider=F.lit(name), channel=F.lit(name), timestamp=F.when(both, stamp), event_id=event_id if event_id is not None else F.coalesce(F.element_at(get, "action"), F.lit("firewall")))
-    return F.when(at > 0, made)
+    row = F.split(strip(F.get(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")), 0)), r"\s+")
+    names = F.coalesce(F.split(strip(F.substring(F.get(F.filter(lines, lambda x: x.startswith("#Fields:")), 0), 9, 100000)), r"\s+"), F.array(*map(F.lit, order)))
+    every = F.zip_with(names, row, lambda k, v: F.struct(F.lit("").alias("section"), k.alias("k"), v.alias("v")))
+    return F.filter(every, lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+
+
+def table_row(rows: Column, name: str, event_id: Column | None) -> Column:
+    """Event of a table row's columns."""
+    plain = F.transform(rows, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
+    one = lambda name_: F.get(F.filter(rows, lambda e: e["k"] == name_), 0)["v"]
+    stamp = F.when(one("date").isNotNull() & one("time").isNotNull(), F.concat_ws(" ", one("date"), one("time")))
+    made = _event(F.filter(plain, lambda e: ~e["v"].isin("", "-")), provider=F.lit(name), channel=F.lit(name), timestamp=stamp, event_id=event_id if event_id is not None else F.coalesce(one("action"), F.lit("firewall")))
+    return F.when(F.size(rows) > 0, made)
 
 
 def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -> DataFrame:
     """df with column _windows: the parse struct or null."""
     text = F.col(raw)
     may = F.lit(True) if open_if is None else open_if
-    out = df.withColumn("_wf", F.when(may, detect(text)))
+    out = df.withColumn("_wf", F.when(may, apart(detect(text))))
     fmt = F.col("_wf")
-    event = F.when(fmt == "xml", event_xml(text)).when(fmt == "evtx-text", text_block(text)).when(fmt == "winkv", key_values(text))
-    event = event.when(fmt == "iis-w3c", table_row(text, IIS_ORDER, "IIS", F.lit("iis-request"))).when(fmt == "firewall-text", table_row(text, FW_ORDER, "Windows Firewall", None))
+    rows = F.when(fmt == "evtx-text", block_rows(text)).when(fmt == "winkv", key_rows(text)).when(fmt == "iis-w3c", table_rows(text, IIS_ORDER)).when(fmt == "firewall-text", table_rows(text, FW_ORDER))
+    out = out.withColumn("_wr", rows)
+    r = F.col("_wr")
+    event = F.when(fmt == "xml", event_xml(text)).when(fmt == "evtx-text", text_block(r)).when(fmt == "winkv", key_values(r))
+    event = event.when(fmt == "iis-w3c", table_row(r, "IIS", F.lit("iis-request"))).when(fmt == "firewall-text", table_row(r, "Windows Firewall", None))
     out = out.withColumn("_we", event)
     e = F.col("_we")
     prov, chan, eid = F.lower(F.coalesce(e["provider"], F.lit(""))), F.lower(F.coalesce(e["channel"], F.lit(""))), strip(F.coalesce(e["event_id"], F.lit("")))
@@ -194,13 +208,14 @@ def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -
         .when(says("sysmon"), F.coalesce(lookup(SYSMON, eid), F.lit("generic"))).when(says("powershell"), "powershell").when(says("defender"), "defender")
         .when(security, F.coalesce(lookup(SECURITY, eid), F.lit("generic"))).otherwise("generic")
     )
-    out = out.withColumn("_wk", F.when(e.isNotNull(), kind))
+    out = out.withColumn("_wk", F.when(e.isNotNull(), apart(kind)))
     k, data = F.col("_wk"), e["data"]
-    of = lambda at, cast="string": lookup({n: v[at] for n, v in KINDS.items() if v[at] is not None}, k, cast)
-    chosen = F.array().cast(PAIRS)
+    out = out.withColumn("_wn", F.array_position(F.array(*map(F.lit, KINDS)), k).cast("int") - 1)
+    of = lambda at, cast="string": by_number(F.col("_wn"), [v[at] for v in KINDS.values()], cast)
+    chosen = F.when(F.lit(False), F.array().cast(PAIRS))
     for name in MAPS:
         entries = [F.struct(F.lit(path).alias("k"), F.coalesce(*(F.when(F.map_contains_key(data, x), F.lit(x)) for x in keys if x != "Computer"), F.lit("Computer") if keys == ["Computer"] else F.lit(None)).alias("v")) for path, keys in MAPS[name].items()]
-        chosen = F.when(k.isin(*[n for n, v in KINDS.items() if v[0] == name]), F.filter(F.array(*entries), lambda x: x["v"].isNotNull())).otherwise(chosen)
+        chosen = chosen.when(k.isin(*[n for n, v in KINDS.items() if v[0] == name]), F.filter(F.array(*entries), lambda x: x["v"].isNotNull()))
     get = lambda *names: F.coalesce(*(F.element_at(data, n) for n in names))
     user = get("primary::Account Name", "Account Name", "TargetUserName", "SubjectUserName", "AccountName", "User")
     logon = k.isin("logon", "failed")
@@ -229,8 +244,8 @@ def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -
     native = first_wins(F.concat(block, F.transform(rest, lambda x: F.struct(F.concat(F.lit("event_data."), x["k"]).alias("k"), x["v"].alias("v")))))
     made = parsed(
         family="windows", format=fmt, parser_id=parser, source_name=source, os_family="Windows", category=of(3), class_uid=of(1, "int"),
-        activity_id=lookup({n: v[2][0] for n, v in KINDS.items()}, k, "int"), activity_name=lookup({n: v[2][1] for n, v in KINDS.items()}, k), severity_id=of(5, "int"),
-        status=status, status_id=lookup({"Success": 1, "Failure": 2}, status, "int"), f=first_wins(F.concat(own, rest, first)), m=F.map_from_entries(chosen), native=native,
+        activity_id=by_number(F.col("_wn"), [v[2][0] for v in KINDS.values()], "int"), activity_name=by_number(F.col("_wn"), [v[2][1] for v in KINDS.values()]), severity_id=of(5, "int"),
+        status=status, status_id=lookup({"Success": 1, "Failure": 2}, status, "int"), f=first_wins(F.concat(own, rest, first)), m=F.map_from_entries(chosen.otherwise(F.array().cast(PAIRS))), native=native,
         core=present(e["timestamp"], e["provider"], e["channel"], e["event_id"], e["computer"], e["level"]), static=literal_map({}),
     )
-    return out.withColumn("_windows", F.when(k.isNotNull(), made).cast(TYPE)).drop("_wf", "_we", "_wk")
+    return out.withColumn("_windows", F.when(k.isNotNull(), made).cast(TYPE)).drop("_wf", "_wr", "_we", "_wk", "_wn", "_wm")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ocsf
 from ..operators.registry import Registry
 from ..operators.templates import mine
-from ..session import table
+from ..session import spread, table
 from ..sources.grouping import batch_payload, group_lines, kafka_value
 from . import search, store
 from .normalize import normalize
@@ -34,13 +34,13 @@ def query(name: str, oracle: str | None = None):
 
 def rendered(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     """event_id and the raw line of every event in one format."""
-    return table(spark, sf_dir, "events").select("event_id", F.expr(FORMATS[fmt][0]).alias("raw"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", F.expr(FORMATS[fmt][0]).alias("raw"))
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a line of the format that its id names."""
     case = " ".join(f"WHEN {i} THEN {FORMATS[n][0]}" for i, n in enumerate(MIX))
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.expr(f"CASE event_id % {len(MIX)} {case} END").alias("raw"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", "ts", "user_id", F.expr(f"CASE event_id % {len(MIX)} {case} END").alias("raw"))
 
 
 def events_of(rows: DataFrame) -> DataFrame:
@@ -126,8 +126,7 @@ def coverage_by_parser(spark, sf_dir):
 
 @query("flat_events", f"SELECT event_id AS id, {TIME} AS time, strftime(ts, '%Y-%m-%d') AS event_date, 3002 AS class_uid, 'Authentication' AS class_name, 'host' || event_id % 50 AS hostname, 'user' || user_id AS user_name, CAST(1024 + event_id % 60000 AS INT) AS src_port, '' AS dst_ip, 0 AS dst_port FROM events")
 def flat_events(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.expr(FORMATS["linux_ssh"][0]).alias("raw"))
-    out = normalize(rows, reference_now=NOW, reference_year=YEAR, event_id=F.col("event_id").cast("string"))
+    out = normalize(rendered(spark, sf_dir, "linux_ssh"), reference_now=NOW, reference_year=YEAR, event_id="event_id")
     flat = store.flat(out)
     zoned = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss")
     return flat.select(F.col("event_id").cast("long").alias("id"), F.concat(zoned, F.lit("+00:00")).alias("time"), F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "class_uid", "class_name", "hostname", "user_name", "src_port", "dst_ip", "dst_port")

@@ -12,12 +12,14 @@ blank go to the dead-letter shape. Output: the uniform event of the schema, with
 from __future__ import annotations
 
 import datetime as dt
+import json
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ocsf
-from ..functions.columns import MAP, blank, literal_map
+from ..functions.columns import MAP, Steps, blank, literal_map
 from ..operators import android, linux, windows
 from ..operators.parsed import TYPE, parsed
 from ..operators.registry import Registry
@@ -44,15 +46,35 @@ def os_name(family: Column) -> Column:
     return F.when(low.contains("win"), "Windows").when(low.contains("android"), "Android").when(mac, "macOS").when(low.contains("linux"), "Linux").otherwise(family)
 
 
+_NOTED: dict[tuple, object] = {}
+
+
+def _noted(key: tuple, make):
+    """make(), kept for the active Spark context."""
+    context = SparkContext._active_spark_context
+    if _NOTED.get("context") is not context:
+        _NOTED.clear()
+        _NOTED["context"] = context
+    if key not in _NOTED:
+        _NOTED[key] = make()
+    return _NOTED[key]
+
+
 def parse(df: DataFrame, raw: str = "raw", registry: Registry | None = None) -> DataFrame:
     """df with _p: the parse struct of every record."""
+    registry = registry or _noted(("registry",), Registry)
+    key = ("parse", raw, json.dumps(registry.specs, sort_keys=True))
+    return _noted(key, lambda: _parse_steps(raw, registry)).on(df)
+
+
+def _parse_steps(raw: str, registry: Registry) -> Steps:
     text = F.col(raw)
-    out = df.withColumn("_open", ~F.coalesce(blank(text), F.lit(True)))
+    out = Steps().withColumn("_open", ~F.coalesce(blank(text), F.lit(True)))
     out = windows.with_parse(out, raw, F.col("_open"))
     out = android.with_parse(out, raw, F.col("_open") & F.col("_windows").isNull())
     out = linux.with_parse(out, raw, F.col("_open") & F.col("_windows").isNull() & F.col("_android").isNull())
     none = F.col("_windows").isNull() & F.col("_android").isNull() & F.col("_linux").isNull()
-    out = (registry or Registry()).with_parse(out, raw, F.col("_open") & none)
+    out = registry.with_parse(out, raw, F.col("_open") & none)
     template = masked(text)
     best = F.get(F.col("_candidates"), 0)["score"]
     mined = parsed(family="drain3", format="template", parser_id="DRAIN3-FALLBACK", source_name="Unknown", os_family="Unknown", category="Unclassified", class_uid=1001, f=F.map_from_arrays(F.array(F.lit("message"), F.lit("drain3_template")), F.array(text, template)), template=template, confidence=F.coalesce(best, F.lit(0.0)), candidates=F.col("_candidates"))
@@ -61,16 +83,27 @@ def parse(df: DataFrame, raw: str = "raw", registry: Registry | None = None) ->
     return out.withColumn("_p", picked).drop("_open", "_windows", "_android", "_linux", "_registry", "_candidates")
 
 
-def normalize(df: DataFrame, raw: str = "raw", registry: Registry | None = None, reference_now: str = "1970-01-01T00:00:00+00:00", reference_year: int | None = None, event_id: Column | None = None) -> DataFrame:
-    """One event row for each row of df. reference_now stands where no time can be read, reference_year where a year is missing."""
+def normalize(df: DataFrame, raw: str = "raw", registry: Registry | None = None, reference_now: str = "1970-01-01T00:00:00+00:00", reference_year: int | None = None, event_id: str | None = None) -> DataFrame:
+    """One event row for each row of df. reference_now stands where no time can be read, reference_year where a year is missing.
+
+    event_id names the column with each event's id; without it the record's hash is the id.
+    """
     year = reference_year or dt.datetime.fromisoformat(reference_now).year
-    rows = parse(df, raw, registry)
+    steps, event = _noted(("map", raw, reference_now, year, event_id), lambda: _map_steps(raw, reference_now, year, event_id))
+    extra = [c for c in df.columns if c != raw and c not in event]
+    return steps.on(parse(df, raw, registry)).select(*extra, *(c.alias(k) for k, c in event.items()))
+
+
+def _map_steps(raw: str, reference_now: str, year: int, event_id: str | None) -> tuple[Steps, dict[str, Column]]:
+    """Steps from a parse to what the event's columns need, and those columns."""
+    rows = Steps()
     p, text = F.col("_p"), F.col(raw)
     f = p["f"]
     value = lambda path: F.coalesce(F.nullif(F.element_at(f, F.element_at(p["m"], path)), F.lit("")), F.element_at(p["static"], path))
     num = lambda path: ocsf.coerced(value(path))
     uid = ocsf.class_uid(p["class_uid"].cast("string"))
-    level = F.coalesce(*(F.nullif(F.element_at(f, k), F.lit("")) for k in ("level", "severity", "messageType", "message_type", "status")))
+    rows.withColumn("_level", F.coalesce(*(F.nullif(F.element_at(f, k), F.lit("")) for k in ("level", "severity", "messageType", "message_type", "status"))))
+    level = F.col("_level")
     sev = F.when(p["family"] == "dlq", 0).otherwise(F.coalesce(p["severity_id"], ocsf.severity_id(level))).cast("int")
     time, original = ocsf.event_time(f, reference_now, year)
     sources = F.concat(F.map_values(p["m"]), p["replaced"])
@@ -107,7 +140,7 @@ def normalize(df: DataFrame, raw: str = "raw", registry: Registry | None = None,
     digest = F.sha2(F.coalesce(text, F.lit("")), 256)
     status = F.coalesce(value("status"), p["status"], F.lit("Unknown"))
     metadata = F.struct(
-        F.lit("1.1.0").alias("version"), (event_id if event_id is not None else digest).alias("uid"), p["parser_id"].alias("parser_id"), p["source_name"].alias("product_name"), p["category"].alias("feature_name"),
+        F.lit("1.1.0").alias("version"), (F.col(event_id) if event_id is not None else digest).cast("string").alias("uid"), p["parser_id"].alias("parser_id"), p["source_name"].alias("product_name"), p["category"].alias("feature_name"),
         F.coalesce(value("metadata.log_provider"), p["source_name"]).alias("log_provider"), value("metadata.log_name").alias("log_name"), num("metadata.event_code").alias("event_code"), value("metadata.uid_alt").alias("uid_alt"),
         F.col("_orig").alias("original_time"), F.lit(reference_now).alias("processed_time"), digest.alias("raw_sha256"),
         F.when(F.coalesce(F.col("_orig"), F.lit("")).rlike(r"\b\d{4}\b"), "source").otherwise("inferred").alias("timestamp_year_source"),
@@ -136,5 +169,4 @@ def normalize(df: DataFrame, raw: str = "raw", registry: Registry | None = None,
         "http_request": F.struct(value("http_request.http_method").alias("http_method"), value("http_request.url.path").alias("path")), "http_response": F.struct(num("http_response.code").alias("code")),
         "finding": F.struct(value("finding.title").alias("title")), "native": F.coalesce(p["native"], literal_map({})), "parser_id": p["parser_id"], "source_name": p["source_name"], "candidates": p["candidates"],
     }
-    extra = [c for c in df.columns if c != raw and c not in event]
-    return rows.select(*extra, *(c.alias(k) for k, c in event.items()))
+    return rows, event

@@ -95,11 +95,11 @@ FORMATS: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
     ),
     "windows_iis": (
         f"concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' 10.0.0.1 GET /p/', user_id, ' - 80 - ', {IP}, ' UA ', if({BAD}, 500, 200), ' 0 0 5')",
-        expected("WIN-IIS-W3C", 4002, "HTTP Request", time="strftime(ts, '%Y-%m-%dT%H:%M:%S')", url_path=("http_request.path", "'/p/' || user_id"), code=("http_response.code", f"CASE WHEN {BAD} THEN '500' ELSE '200' END"), dst_port=("dst_endpoint.port", "'80'"), **_SRC_IP),
+        expected("WIN-IIS-W3C", 4002, "HTTP Request", url_path=("http_request.path", "'/p/' || user_id"), code=("http_response.code", f"CASE WHEN {BAD} THEN '500' ELSE '200' END"), dst_port=("dst_endpoint.port", "'80'"), **_SRC_IP),
     ),
     "windows_firewall": (
         f"concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), if({BAD}, ' DROP', ' ALLOW'), ' TCP ', {IP}, ' 10.9.9.9 ', {PORT}, ' 443 0 - - - - - - - RECEIVE')",
-        expected("WIN-FIREWALL-001", 4001, "Traffic", f"CASE WHEN {BAD} THEN 'Failure' ELSE 'Success' END", time="strftime(ts, '%Y-%m-%dT%H:%M:%S')", dst_port=("dst_endpoint.port", "'443'"), protocol=("connection_info.protocol_name", "'TCP'"), **_SRC),
+        expected("WIN-FIREWALL-001", 4001, "Traffic", f"CASE WHEN {BAD} THEN 'Failure' ELSE 'Success' END", dst_port=("dst_endpoint.port", "'443'"), protocol=("connection_info.protocol_name", "'TCP'"), **_SRC),
     ),
     "registry_filterlog": (
         f"concat({BSD}, ' fw filterlog[', 1 + event_id % 99, ']: 5,,,100,em0,match,', if({BAD}, 'block', 'pass'), ',in,4,0x0,,64,', event_id, ',0,none,6,tcp,60,', {IP}, ',192.168.0.1,', {PORT}, ',443')",

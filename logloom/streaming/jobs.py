@@ -34,7 +34,7 @@ def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: s
     """Normalise every micro-batch and hand it to sink; offsets commit after it returns."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        rows = normalize(df, event_id=F.col("key"), **options).persist()
+        rows = normalize(df, event_id="key", **options).persist()
         try:
             sink(rows, epoch)
         finally:
