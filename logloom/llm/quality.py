@@ -66,7 +66,10 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_l", _lines(F.col("_t")))
     # Windows of word hashes, so each word's characters are hashed once and not eight times.
     out = out.withColumn("_u", F.transform("_w", lambda w: F.xxhash64(w)))
-    windows = F.transform(F.sequence(F.lit(1), F.size("_u") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_u", i, WINDOW)))
+    u = F.col("_u")
+    # Eight lookups for each window: slice() copies its whole array each time, which grows with the square of a text.
+    each = F.transform(u, lambda x, i: F.xxhash64(x, *[F.get(u, i + k) for k in range(1, WINDOW)]))
+    windows = F.slice(each, 1, F.greatest(F.size(u) - (WINDOW - 1), F.lit(0)))
     out = out.withColumn("_h", F.when(F.col("_n") >= WINDOW, windows))
     # Only texts that have equal windows at all are sorted: then equal hashes stand side by side.
     ranked = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
