@@ -151,7 +151,17 @@ class Steps:
         self.todo.append(("drop", names))
         return self
 
+    def settle(self, name: str, column: Column) -> Steps:
+        """A column that filters on what follows are not pushed through (they would repeat all that made it)."""
+        self.todo.append(("settle", (name, column)))
+        return self
+
     def on(self, df: DataFrame) -> DataFrame:
         for kind, what in self.todo:
-            df = df.withColumns(what) if kind == "with" else df.drop(*what)
+            if kind == "with":
+                df = df.withColumns(what)
+            elif kind == "drop":
+                df = df.drop(*what)
+            else:
+                df = df.select("*", F.explode_outer(F.array(what[1])).alias(what[0]))
         return df

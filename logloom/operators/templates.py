@@ -47,7 +47,7 @@ def cluster(messages: list[list[str]]) -> list[int]:
 
 def mine(df: DataFrame, text: str = "raw") -> DataFrame:
     """template, n (rows) and example of every cluster of the column's messages."""
-    rows = df.select(masked(F.col(text)).alias("m"), F.col(text).alias("t")).filter("m is not null")
+    rows = df.select(masked(F.col(text)).alias("m"), F.col(text).alias("t")).filter("t is not null")
     distinct = rows.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("example"))
     token = F.split(F.trim("m"), r"\s+")
     keyed = distinct.withColumn("size", F.size(token)).withColumn("head", F.get(token, 0)).withColumn("second", F.coalesce(F.get(token, 1), F.lit("")))
@@ -62,7 +62,7 @@ def mine(df: DataFrame, text: str = "raw") -> DataFrame:
         for _, g in pdf.groupby("c"):
             kept = [a if all(tokens[i][k] == a for i in g.index) else WILD for k, a in enumerate(tokens[g.index[0]])]
             out.append((" ".join(kept), int(g["n"].sum()), g["example"].min()))
-        return pd.DataFrame(out, columns=["template", "n", "example"])
+        return pd.DataFrame(out, columns=["template", "n", "example"]).astype({"template": object, "example": object})
 
     return keyed.select("size", "head", "part", "m", "n", "example").groupBy("size", "head", "part").applyInPandas(work, "template string, n long, example string")
 
@@ -89,7 +89,7 @@ def streaming_miner() -> type:
                         known[at] = [a if a == b else WILD for a, b in zip(known[at], tokens, strict=True)]
                     out.append((m, " ".join(known[at])))
             self.known.put([(" ".join(t),) for t in known])
-            yield pd.DataFrame(out, columns=["m", "template"])
+            yield pd.DataFrame(out, columns=["m", "template"]).astype(object)
 
         def close(self) -> None:
             pass

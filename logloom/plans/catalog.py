@@ -211,14 +211,14 @@ def latency_quantiles_5m(spark, sf_dir):
     return search.quantiles(table(spark, sf_dir, "events"), "ts", "value", ["event_type"])
 
 
-@query("latency_histogram", "SELECT " + ", ".join(f"count(*) FILTER (WHERE value <= {e:g}) AS \"le_{e:g}\"" for e in (0.5, 1.0, 5.0, 10.0, 50.0)) + ", count(value) AS le_inf FROM events")
+@query("latency_histogram", "SELECT " + ", ".join(f"count(*) FILTER (WHERE value <= {e:g}) AS " + f"le_{e:g}".replace(".", "_") for e in (0.5, 1.0, 5.0, 10.0, 50.0)) + ", count(value) AS le_inf FROM events")
 def latency_histogram(spark, sf_dir):
     return search.histogram(table(spark, sf_dir, "events"), "value", (0.5, 1.0, 5.0, 10.0, 50.0))
 
 
 @query("hit_ratio", "SELECT event_type, count(*) FILTER (WHERE user_id % 3 = 0) / CAST(greatest(count(*), 1) AS DOUBLE) AS ratio FROM events GROUP BY 1")
 def hit_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(search.hit_ratio(F.count_if("user_id % 3 = 0"), F.count(F.lit(1))).alias("ratio"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(search.hit_ratio(F.count_if(F.expr("user_id % 3 = 0")), F.count(F.lit(1))).alias("ratio"))
 
 
 @query("pipeline_counters", f"SELECT {mix_sql('parser_id')} AS parser_id, count(*) AS ingested, count(*) FILTER (WHERE {mix_sql('parser_id')} NOT IN ('DRAIN3-FALLBACK', 'DLQ')) AS parsed, count(*) FILTER (WHERE {mix_sql('parser_id')} = 'DRAIN3-FALLBACK') AS fallback, count(*) FILTER (WHERE {mix_sql('parser_id')} = 'DLQ') AS dlq FROM events GROUP BY 1")
@@ -248,7 +248,7 @@ def ip_observables(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(ocsf.addresses(F.expr(text)), ",").alias("ips"))
 
 
-@query("confidence_breakdown", "SELECT event_id, 1.0 AS format, 0.93 AS pattern, 1.0 AS source, 1.0 AS parser, 1.0 AS semantic, 1.0 AS ocsf FROM events")
+@query("confidence_breakdown", "SELECT event_id, CAST(1 AS DOUBLE) AS format, CAST(0.93 AS DOUBLE) AS pattern, CAST(1 AS DOUBLE) AS source, CAST(1 AS DOUBLE) AS parser, CAST(1 AS DOUBLE) AS semantic, CAST(1 AS DOUBLE) AS ocsf FROM events")
 def confidence_breakdown(spark, sf_dir):
     return events_of(rendered(spark, sf_dir, "linux_ssh")).select("event_id", *[F.col(f"confidence_breakdown.{k}").alias(k) for k in ("format", "pattern", "source", "parser", "semantic", "ocsf")])
 
@@ -258,13 +258,13 @@ def provenance_status(spark, sf_dir):
     return mixed_events(spark, sf_dir).groupBy("parse_status").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("fingerprint_scores", "SELECT event_id, 'FW-W3C-001' AS parser_id, 1.0 AS score FROM events")
+@query("fingerprint_scores", "SELECT event_id, 'FW-W3C-001' AS parser_id, CAST(1 AS DOUBLE) AS score FROM events")
 def fingerprint_scores(spark, sf_dir):
     best = F.get(Registry().ranked(F.col("raw")), 0)
     return rendered(spark, sf_dir, "registry_filterlog").select("event_id", best["parser_id"].alias("parser_id"), best["score"].alias("score"))
 
 
-@query("group_multiline", "SELECT user_id, 2 * count(*) AS n_records, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS n_long FROM events GROUP BY 1")
+@query("group_multiline", "SELECT user_id, 2 * count(*) AS n_records, CAST(sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_long FROM events GROUP BY 1")
 def group_multiline(spark, sf_dir):
     lines = "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' start ', event_id, if(event_id % 2 = 0, '\\n  at more', ''), '\\n\\n', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' INFO [App]\\nProvider=x')"
     e = table(spark, sf_dir, "events").select("user_id", group_lines(F.expr(lines)).alias("r"))

@@ -80,7 +80,7 @@ def _parse_steps(raw: str, registry: Registry) -> Steps:
     mined = parsed(family="drain3", format="template", parser_id="DRAIN3-FALLBACK", source_name="Unknown", os_family="Unknown", category="Unclassified", class_uid=1001, f=F.map_from_arrays(F.array(F.lit("message"), F.lit("drain3_template")), F.array(text, template)), template=template, confidence=F.coalesce(best, F.lit(0.0)), candidates=F.col("_candidates"))
     dead = parsed(family="dlq", format="none", parser_id="DLQ", source_name="Dead Letter Queue", os_family="Unknown", category="Unclassified", class_uid=1001, status="Failure", f=F.map_from_arrays(F.array(F.lit("message")), F.array(F.coalesce(text, F.lit("")))), confidence=0.0)
     picked = F.coalesce("_windows", "_android", "_linux", "_registry", F.when(F.col("_open"), mined.cast(TYPE)), dead.cast(TYPE))
-    return out.withColumn("_p", picked).drop("_open", "_windows", "_android", "_linux", "_registry", "_candidates")
+    return out.settle("_p", picked).drop("_open", "_windows", "_android", "_linux", "_registry", "_candidates")
 
 
 def normalize(df: DataFrame, raw: str = "raw", registry: Registry | None = None, reference_now: str = "1970-01-01T00:00:00+00:00", reference_year: int | None = None, event_id: str | None = None) -> DataFrame:

@@ -26,7 +26,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top: int = 10) -> Dat
     """
     words = sorted({w for w in query.lower().split() if w})
     rows = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
-    hit = rows.select("key", "len", *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(words)])
+    times = lambda w: F.size(F.filter("t", lambda x: x == w))
+    hit = rows.select("key", "len", *[times(w).alias(f"tf{i}") for i, w in enumerate(words)])
     stats = hit.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -72,7 +73,7 @@ def quantiles(df: DataFrame, ts: str, value: str, by: list[str], window: str = "
 
 def histogram(df: DataFrame, value: str, edges=(0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)) -> DataFrame:
     """Cumulative bucket counts, one scan."""
-    counts = [F.count_if(F.col(value) <= e).alias(f"le_{e:g}") for e in edges]
+    counts = [F.count_if(F.col(value) <= e).alias(f"le_{e:g}".replace(".", "_")) for e in edges]
     return df.agg(*counts, F.count(value).alias("le_inf"))
 
 

@@ -74,14 +74,15 @@ def unified_record(line: Column) -> Column:
     literal = lambda k: F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json(line), f"$.{k}", "variant")), F.lit("null"))
     head = [F.concat(F.lit(f'"{k}": '), literal(k)) for k in CANONICAL]
     v = F.try_variant_get(F.try_parse_json(line), "$", "map<string,variant>")
-    rest = F.transform(F.map_entries(F.map_filter(v, lambda k, x: ~k.isin(*CANONICAL))), lambda e: F.concat(F.to_json(F.to_variant_object(F.struct(e["key"].alias("k")))).substr(F.lit(6), F.length(F.to_json(F.to_variant_object(F.struct(e["key"].alias("k"))))) - 6), F.lit(": "), F.to_json(e["value"])))
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    rest = F.transform(F.map_entries(F.map_filter(v, lambda k, x: ~k.isin(*CANONICAL))), lambda e: F.concat(quoted(e["key"]), F.lit(": "), F.to_json(e["value"])))
     return F.when(obj.isNotNull() & strip(line).startswith("{"), F.concat(F.lit("{"), F.concat_ws(", ", *head, F.array_join(rest, ", ")), F.lit("}")))
 
 
 def unified_log(text: Column) -> Column:
     """Array of (record, error) of a unified-log export: a JSON array, one object a line, or syslog-style lines."""
     first = F.substring(F.ltrim(strip(text)), 1, 1)
-    elements = F.transform(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), F.to_json)
+    elements = F.transform(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), lambda x: F.to_json(x))
     lines = F.filter(F.transform(F.split(text, "\r\n|\n"), strip), lambda x: x != "")
     pair = lambda r, e: F.struct(r.cast("string").alias("record"), e.cast("string").alias("error"))
     null = F.lit(None)
