@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable] = {
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op8_secret_scans": secrets.ORACLE,
     "op10_warc": warc.ORACLE,
 }

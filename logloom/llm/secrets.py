@@ -136,3 +136,28 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans"))))
     chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(chars)).select(*docs.columns)
+
+
+def _span_sql(kind: int, pattern: str, keep: str) -> str:
+    """Spans of one kind: matches, and the lengths of what lies between and before them."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT rid, {kind} AS kind, v, CAST(b AS BIGINT) AS s, CAST(b + length(v) AS BIGINT) AS e FROM
+      (SELECT rid, m[i] AS v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b
+       FROM (SELECT rid, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM d))) WHERE {keep}"""
+
+
+_ASSIGN_SQL = ASSIGN.replace('\\"', '"')
+_NAMED = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owner' END || ':' || s || ':' || e"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+base AS ({_span_sql(0, _ASSIGN_SQL, f"length(regexp_extract(v, '^{_ASSIGN_SQL.replace(chr(39), chr(39) * 2)}$', 2)) >= {LEAST_VALUE}")}
+  UNION ALL {_span_sql(1, ACCESS, "true")}
+  UNION ALL {_span_sql(2, "[0-9a-f]{24,}", "true")}),
+tok AS ({_span_sql(3, "[A-Za-z0-9+/_=-]{20,}", f"length(v) <= 200 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT}")}),
+own AS (SELECT v FROM tok JOIN d USING (rid) GROUP BY v HAVING count(DISTINCT source) <= {MAX_OWNERS}),
+spans AS (SELECT * FROM base UNION ALL SELECT tok.* FROM tok JOIN own USING (v)),
+b AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS k, count(*) FILTER (WHERE kind = 2) AS h, string_agg({_NAMED}, ',' ORDER BY s, kind) AS l FROM base GROUP BY 1),
+f AS (SELECT rid, string_agg({_NAMED}, ',' ORDER BY s, kind) AS l FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(b.a, 0) AS n_assign, coalesce(b.k, 0) AS n_access, coalesce(b.h, 0) AS n_hex, sha256(coalesce(b.l, '')) AS base_sha256, coalesce(f.l, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN f USING (rid)
+"""
