@@ -290,8 +290,8 @@ def record_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.trim("text") != "").select("doc_id", F.sha2("text", 256).alias("raw_sha256"))
 
 
-_TF = "len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), x -> x = '{w}'))"
-_LEN = "len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), x -> x <> ''))"
+_TF = "len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x = '{w}'))"
+_LEN = "len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> ''))"
 
 
 @query("search_bm25", f"""
