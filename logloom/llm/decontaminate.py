@@ -119,11 +119,15 @@ def _item_blocks(items: DataFrame) -> list[DataFrame]:
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """Every row of docs with n_words, n_hit, n_items, items_sha256 and contaminated (names after prefix)."""
+    """Every row of docs with n_words, n_hit, n_items, items_sha256 and contaminated (names after prefix).
+
+    Columns of docs that have these names give way to the results.
+    """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text"))
     blocks = _item_blocks(items)
     names = [f.split()[0] for f in RESULT.split(", ")]
+    kept = [c for c in docs.columns if c not in [prefix + n for n in names]]
     if len(blocks) == 1:
         shared = spark.sparkContext.broadcast(WuManber([tuple(r) for r in blocks[0].collect()]))
 
@@ -136,7 +140,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", prefix: str = ""
             return pa.array(rows, _RESULT)
 
         out = docs.withColumn("_r", judged(F.col(text)))
-        return out.select(*docs.columns, *(F.col(f"_r.{x}").alias(prefix + x) for x in names))
+        return out.select(*kept, *(F.col(f"_r.{x}").alias(prefix + x) for x in names))
     # Larger benchmarks: one pass a block keeps the hits of the documents that have some; the last pass sums up.
     keyed = docs.withColumn("_k", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     parts = None
@@ -153,7 +157,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", prefix: str = ""
         return pa.array(rows, _RESULT)
 
     out = keyed.join(whole, "_k", "left").withColumn("_r", summed(F.col(text), F.struct("a", "b", "ids")))
-    return out.select(*docs.columns, *(F.col(f"_r.{x}").alias(prefix + x) for x in names))
+    return out.select(*kept, *(F.col(f"_r.{x}").alias(prefix + x) for x in names))
 
 
 def _partial(keyed: DataFrame, patterns: WuManber) -> DataFrame:

@@ -138,7 +138,7 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> Filter:
 
 
 def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """Every row of docs with lang_pred and score."""
+    """Every row of docs with lang_pred and score (which replace columns of these names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -146,7 +146,8 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
     def predicted(texts: pa.Array) -> pa.Array:
         return pa.array([dict(zip(("lang_pred", "score"), shared.value.predict(t.as_py()), strict=True)) for t in texts], kind)
 
-    return docs.withColumn("_p", predicted(F.col(text))).select(*docs.columns, "_p.lang_pred", "_p.score")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("_p", predicted(F.col(text))).select(*kept, "_p.lang_pred", "_p.score")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def _case():
 def test_matches_brute_force(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(D, "BLOCK_BYTES", block_bytes)
     docs, items = _case()
-    df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, n_items_old long")
+    df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, n_items long")
     out = D.scan(df, spark.createDataFrame(items, "item_id long, text string"))
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()))
     assert got == sorted((d, *brute(t, items)) for d, t in docs)

@@ -12,7 +12,7 @@ def test_learns_and_predicts(spark):
     model = L.learn(rows)
     assert sorted(model.langs) == ["en", "fr"]
     docs = [(1, "the dog was there", 0), (2, "les autres chiens étaient là", 0), (3, None, 0), (4, "", 0), (5, "123 ###", 0), (6, "qqq", 0), (7, EN * 20000, 0), (7, EN, 0)]
-    out = L.identify(spark.createDataFrame(docs, "doc_id long, text string, lang int"), model).collect()
+    out = L.identify(spark.createDataFrame(docs, "doc_id long, text string, score int"), model).collect()
     assert [r.lang_pred for r in out] == ["en", "fr", "und", "und", "und", model.langs[0], "en", "en"]
     assert all(0 <= r.score <= 1 for r in out) and out[2].score == 0
 
