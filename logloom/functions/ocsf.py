@@ -80,15 +80,30 @@ def _iso_text(day: Column, hm: Column, sec: Column, frac: Column, zone: Column)
     return F.when(real, F.concat(day, F.lit("T"), clock, part, z))
 
 
-def event_time(f: Column, reference_now: str, reference_year: int) -> tuple[Column, Column]:
-    """(time, original_time) of a field map, by five steps: datetime, date and time, month day time, ISO text, reference_now."""
+_WHOLE = Pattern(r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}):(\d{2})(?:\.(\d{1,6}))?$")
+
+
+def _stamp(f: Column, *keys: str) -> Column:
+    return F.coalesce(*(F.nullif(F.element_at(f, k), F.lit("")) for k in keys))
+
+
+def time_groups(f: Column) -> tuple[Column, Column]:
+    """Parts of the full datetime and of the ISO timestamp of a field map, null where there is none."""
+    dt, ts = strip(_stamp(f, "datetime", "date_time")), _stamp(f, "timestamp", "time_iso")
+    return F.when(_WHOLE.found(dt), _WHOLE.groups(dt)), F.when(_ISO.found(ts), _ISO.groups(ts))
+
+
+def event_time(f: Column, reference_now: str, reference_year: int, groups: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """(time, original_time) of a field map, by five steps: datetime, date and time, month day time, ISO text, reference_now.
+
+    groups are time_groups(f), as columns of their own where speed counts.
+    """
     get = lambda k: F.nullif(F.element_at(f, k), F.lit(""))
-    dt = F.coalesce(get("datetime"), get("date_time"))
-    whole = Pattern(r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}):(\d{2})(?:\.(\d{1,6}))?$")
-    g = whole.groups(strip(dt))
+    dt = _stamp(f, "datetime", "date_time")
+    g, i = groups or time_groups(f)
     utc = F.lit("+00:00")
     none = lambda c: F.nullif(c, F.lit(""))
-    one = F.when(whole.found(strip(dt)), _iso_text(F.get(g, 0), F.get(g, 1), F.get(g, 2), none(F.get(g, 3)), utc))
+    one = F.when(g.isNotNull(), _iso_text(F.get(g, 0), F.get(g, 1), F.get(g, 2), none(F.get(g, 3)), utc))
     date, clock = get("date"), get("time")
     two = F.when(date.contains("-") & date.rlike(r"^\d{4}-\d{2}-\d{2}$") & clock.rlike(r"^\d{2}:\d{2}:\d{2}$"), _iso_text(date, F.substring(clock, 1, 5), F.substring(clock, 7, 2), F.lit(None).cast("string"), utc))
     month, day = get("month"), get("day")
@@ -104,8 +119,7 @@ def event_time(f: Column, reference_now: str, reference_year: int) -> tuple[Colu
     three = F.when(has3, _iso_text(ymd, hms, two_digits(F.get(sec, 0)), F.substring(F.get(sec, 1), 1, 6), utc))
     three_text = F.when(numeric, F.concat(month, F.lit("-"), day, F.lit(" "), clock)).otherwise(F.concat_ws(" ", month, day, clock))
     ts = F.coalesce(get("timestamp"), get("time_iso"))
-    i = _ISO.groups(ts)
-    four = F.when(_ISO.found(ts), _iso_text(F.get(i, 0), none(F.get(i, 1)), none(F.get(i, 2)), none(F.get(i, 3)), none(F.get(i, 4))))
+    four = F.when(i.isNotNull(), _iso_text(F.get(i, 0), none(F.get(i, 1)), none(F.get(i, 2)), none(F.get(i, 3)), none(F.get(i, 4))))
     raw = F.coalesce(dt, F.when(has3, F.concat_ws(" ", month, day, clock)))
     time = F.coalesce(one, two, three, four, F.lit(reference_now))
     original = F.when(one.isNotNull(), strip(dt)).when(two.isNotNull(), F.concat_ws(" ", date, clock)).when(three.isNotNull(), three_text).when(ts.isNotNull(), ts).otherwise(strip(raw))
@@ -113,8 +127,9 @@ def event_time(f: Column, reference_now: str, reference_year: int) -> tuple[Colu
 
 
 # Fixed value: an address that no longer dotted run or version word just before it surrounds.
+# What it is itself is tried first, so the look-behinds run only where an address stands.
 ADDRESS = (
-    r"(?s)(?<![\w.])(?<![.~])(?<!(?i:v)\b.{0,23})(?<!(?i:kb)\b.{0,22})(?<!(?i:ver)\b.{0,21})(?<!(?i:build)\b.{0,19})"
+    r"(?s)(?<![\w.~])(?=\d{1,3}(?:\.\d{1,3}){3}(?![\w.~]))(?<!(?i:v)\b.{0,23})(?<!(?i:kb)\b.{0,22})(?<!(?i:ver)\b.{0,21})(?<!(?i:build)\b.{0,19})"
     r"(?<!(?i:version|package)\b.{0,17})(\d{1,3}(?:\.\d{1,3}){3})(?![\w.~])"
 )
 

@@ -105,7 +105,9 @@ def _map_steps(raw: str, reference_now: str, year: int, event_id: str | None) ->
     rows.withColumn("_level", F.coalesce(*(F.nullif(F.element_at(f, k), F.lit("")) for k in ("level", "severity", "messageType", "message_type", "status"))))
     level = F.col("_level")
     sev = F.when(p["family"] == "dlq", 0).otherwise(F.coalesce(p["severity_id"], ocsf.severity_id(level))).cast("int")
-    time, original = ocsf.event_time(f, reference_now, year)
+    whole, iso = ocsf.time_groups(f)
+    rows.withColumns({"_gw": whole, "_gi": iso})
+    time, original = ocsf.event_time(f, reference_now, year, (F.col("_gw"), F.col("_gi")))
     sources = F.concat(F.map_values(p["m"]), p["replaced"])
     mapped = F.size(F.filter(F.map_values(p["m"]), lambda k: F.coalesce(F.element_at(f, k), F.lit("")) != "")) + F.size(F.filter(p["replaced"], lambda k: (~k.startswith("_")) & (F.coalesce(F.element_at(f, k), F.lit("")) != "") & (p["family"] == "linux")))
     consumed = F.array(*map(F.lit, ocsf.CONSUMED))
