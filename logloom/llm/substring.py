@@ -1,10 +1,11 @@
 """Substring dedup by hashing lines and what long lines consist of.
 
 Units: lines; a line of over ``LONG`` words is cut at sentence ends, and a
-sentence of over LONG words where a hash of two neighbouring words says so, so
-that a shared passage yields equal units wherever it stands. Units of under
-``LEAST`` words are left alone. Normalised (lower case, single blanks), they
-are grouped over the whole corpus by a 128-bit digest. Of each group the
+sentence of over LONG words after a word pair whose hash is the least of the
+``PIECE`` - 1 pairs before and after it, so that a shared passage yields equal
+units wherever it stands and every piece has PIECE words or more. Units of any
+length count, single words included. Normalised (lower case, single blanks),
+they are grouped over the whole corpus by a 128-bit digest. Of each group the
 occurrence with the least (doc_id, start) stays; the others are to be removed,
 with their offsets in the original text.
 
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import Written, table
 
 LONG = 24
-LEAST = 5
-#: A long sentence is cut after a word pair whose hash leaves 0 modulo this.
-EVERY = 8
+#: Words of a unit: one at least, so only blank lines are no unit.
+LEAST = 1
+#: Words of a piece of a long sentence, at least.
+PIECE = 5
 LAST = (1 << 63) - 1
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s)|$)", re.S)
@@ -44,8 +46,17 @@ _WORD = re.compile(r"\S+")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("nth", pa.int32())])
 
 
+def _cuts(words: list[str]) -> Iterator[int]:
+    """Words after which a long sentence is cut; each depends on the PIECE words before and after it only."""
+    h = [0, *(zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:], strict=False))]
+    for i in range(PIECE, len(words) - PIECE):
+        x = h[i]
+        if x < h[i - 1] and x <= h[i + 1] and x < min(h[i - PIECE + 1 : i]) and x <= min(h[i + 1 : i + PIECE]):
+            yield i
+
+
 def pieces(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, normalised words) of the units of a text, short ones included."""
+    """(start, end, normalised words) of the units of a text, blank ones included."""
     for line in _LINE.finditer(text or ""):
         words = line[0].lower().split()
         if len(words) <= LONG:
@@ -60,10 +71,9 @@ def pieces(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
             if len(at) != len(words):  # lower-casing made or took white space; the words as they stand decide
                 words = [text[a:b].lower() for a, b in at]
             first = 0
-            for i in range(len(at)):
-                if i + 1 == len(at) or (i and zlib.crc32(f"{words[i - 1]} {words[i]}".encode("utf-8", "surrogatepass")) % EVERY == 0):
-                    yield at[first][0], at[i][1], words[first : i + 1]
-                    first = i + 1
+            for i in [*_cuts(words), len(at) - 1]:
+                yield at[first][0], at[i][1], words[first : i + 1]
+                first = i + 1
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +97,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every unit of LEAST words or more; nth counts equal units within a text."""
+    """Every unit; nth counts equal units within a text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_units, "doc_id long, start long, stop long, n_words int, hi long, lo long, nth int")
 

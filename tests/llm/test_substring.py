@@ -52,6 +52,17 @@ def test_pieces_cover_words_in_order():
             at = end
 
 
+def test_short_lines_and_short_pieces_are_grouped(spark):
+    docs = spark.createDataFrame([(1, "short line\nother"), (2, "own\nShort  line\nother"), (3, " \n\n ")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.stop, r.n_words) for r in S.repeats(docs).collect()) == [(2, 4, 15, 2), (2, 16, 21, 1)]
+    # The pieces that two long sentences share hold all of the shared words but those near its ends.
+    long = [" ".join([*(word() for _ in range(30)), PASSAGE, *(word() for _ in range(30))]) for _ in range(2)]
+    for text in long:
+        assert min(len(w) for _, _, w in S.pieces(text)) >= S.PIECE
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    assert sum(r.n_words for r in S.repeats(docs).collect()) >= 60 - 4 * S.PIECE
+
+
 def test_cleaned_text(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     out = {r.doc_id: r for r in S.cleaned(docs).collect()}
