@@ -11,10 +11,13 @@ whole learning part (the labels, where known, fix the class). Its posterior
 labels train a linear classifier (logistic regression on hashed words and
 word beginnings plus the votes), which scores every whole text.
 
-Fitting samples (documented bounds): drawn lexicons and the classifier use
-the ``SAMPLE`` learnable rows with a label that come first by a digest of the
-id; vote vectors are counted over all learnable rows. Everything else covers
-all rows. Labels come from rows whose crc32(doc_id) mod 5 is not 0 only.
+Fitting sample (documented bound): the classifier alone uses the ``SAMPLE``
+learnable rows with a label that come first by a digest of the id. Lexicons
+are drawn from counts over all labelled learnable rows, and vote vectors are
+counted with their labels over all learnable rows. Everything else covers all
+rows. Labels come from rows whose crc32(doc_id) mod 5 is not 0 only. Votes
+are joined with labels by id, without the texts; word counts are summed up in
+each batch and by Spark, and only words that pass the bar are collected.
 
 Defined cases: null text is empty and gets the classifier's score of no
 word at all; without labels the seed lexicon and the patterns still make a
@@ -35,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, table
+from .common import Written, held_out, learnable, table
 
-#: Labelled rows that lexicons and classifier are fitted on, at most.
+#: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 8_000
 DIMENSIONS = 1 << 18
 #: Lengths of word beginnings that are features and lexicon entries.
@@ -82,21 +85,32 @@ class Voters:
         return (1 if seed else 0, 1 if drawn else 0, 1 if stem else 0, 1 if hits * 100 > len(w) else (-1 if bad else 0), 1 if shout else -1, 1 if near else -1)
 
 
-def draw(rows: list[tuple[str, int]]) -> Voters:
-    """Lexicons of words and beginnings that toxic rows carry far more often than others."""
-    seen = [[Counter(), Counter()], [Counter(), Counter()]]
-    totals = [0, 0]
-    for text, label in rows:
-        kinds = set(tokens(text))
-        totals[label] += 1
-        seen[0][label].update(kinds)
-        seen[1][label].update(stems(kinds))
-    if not all(totals):
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by label (word null, stem false), then documents by label of each word and beginning; text and label come in."""
+    for b in batches:
+        seen: dict[tuple[str | None, bool], list[int]] = defaultdict(lambda: [0, 0])
+        for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            kinds = set(tokens(text.as_py()))
+            for key in ((None, False), *((w, False) for w in kinds), *((w, True) for w in stems(kinds))):
+                seen[key][label] += 1
+        words, stem = [k[0] for k in seen], [k[1] for k in seen]
+        clean, toxic = [n[0] for n in seen.values()], [n[1] for n in seen.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(stem, pa.bool_()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["word", "stem", "clean", "toxic"])
+
+
+def draw(rows: DataFrame) -> Voters:
+    """Lexicons of words and beginnings that toxic rows carry far more often than others; rows (text, toxic) all have a label."""
+    counts = rows.select("text", "toxic").mapInArrow(_words, "word string, stem boolean, clean long, toxic long")
+    counts = counts.groupBy("word", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = Written(counts.filter((F.col("toxic") >= LEAST_DOCS) | F.col("word").isNull()), "toxic-words").df
+    total = counts.filter("word is null").first()
+    if total is None or not (total["clean"] and total["toxic"]):
         return Voters()
-    out = []
-    for clean, toxic in seen:
-        out.append(frozenset(w for w, n in toxic.items() if n >= LEAST_DOCS and n / totals[1] >= LEAST_LIFT * (clean[w] + 1) / totals[0]))
-    return Voters(*out)
+    lifted = F.col("toxic") / total["toxic"] >= LEAST_LIFT * (F.col("clean") + 1) / total["clean"]
+    out: tuple[set, set] = (set(), set())
+    for r in counts.filter((F.col("toxic") >= LEAST_DOCS) & F.col("word").isNotNull() & lifted).collect():
+        out[r["stem"]].add(r["word"])
+    return Voters(*map(frozenset, out))
 
 
 class LabelModel:
@@ -215,33 +229,30 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel]:
     """docs (doc_id, text) and labels (doc_id, toxic), both of learnable rows only."""
     spark = docs.sparkSession
-    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = [(r["text"] or "", int(r["toxic"])) for r in docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toLocalIterator()]
-    voters = draw(rows)
+    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    voters = draw(docs.join(marks, "doc_id"))
     shared = spark.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = Counter(",".join(map(str, shared.value(t.as_py()))) for t in b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["votes", "n"])
+            got = [",".join(map(str, shared.value(t.as_py()))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], ["doc_id", "votes"])
 
-    # At most 3 ** len(NAMES) rows, whatever the corpus.
-    every = docs.select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    split = lambda s: tuple(map(int, s.split(",")))
-    counts = Counter({(split(r["votes"]), -1): r["n"] for r in every})
+    # At most 3 ** (len(NAMES) + 1) rows, whatever the corpus; every learnable row counts with its label, if it has one.
+    votes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vote, "doc_id long, votes string")
+    every = votes.join(marks, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("y")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "y").collect()
+    model = LabelModel({(tuple(map(int, r["votes"].split(","))), r["y"]): r["n"] for r in every})
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = [(r["text"] or "", r["toxic"]) for r in docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toLocalIterator()]
     labelled = [(voters(t), y) for t, y in rows]
-    for v, y in labelled:
-        counts[(v, y)] += 1
-        counts[(v, -1)] -= 1
-    model = LabelModel({k: n for k, n in counts.items() if n > 0})
     # Posterior labels: what the label model holds of the votes, moved by the row's own label where it has one.
     target = np.array([0.2 * model.posterior(v) + 0.8 * y for v, y in labelled])
     x = [features(tokens(t), v) for (t, _), (v, _) in zip(rows, labelled, strict=True)]
     if not rows:
         # Nothing labelled: the vote vectors themselves train the classifier.
-        x = [features([], k[0]) for k in counts]
-        target = np.array([model.posterior(k[0]) for k in counts])
+        found = [tuple(map(int, r["votes"].split(","))) for r in every]
+        x = [features([], v) for v in found]
+        target = np.array([model.posterior(v) for v in found])
     return Model(voters, Linear().fit(x, target)), model
 
 

@@ -30,6 +30,17 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert labels.posterior((1, 1, 1, 1, -1, -1)) > 0.5 > labels.posterior((0, 0, 0, -1, -1, -1))
 
 
+def test_lexicons_and_labels_of_all_rows_count_whatever_the_sample(spark):
+    train = _rows(400, 1)
+    docs = spark.createDataFrame(train, "doc_id long, text string, toxic int").repartition(3)
+    seen = []
+    for sample in (40, 400):
+        scorer, labels = T.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), sample)
+        seen.append((scorer.voters.words, scorer.voters.beginnings, labels.prior))
+    assert seen[0][:2] == seen[1][:2] and abs(seen[0][2] - 0.2) < 1e-6
+    assert {"blarghest", "blarghing"} <= seen[0][0] and "blarg" in seen[0][1]
+
+
 def test_correlated_voters_share_a_table(spark):
     counts = {((1, 1, 0, -1, -1, -1), 1): 40, ((0, 0, 0, -1, -1, -1), 1): 40, ((0, 0, 0, -1, -1, -1), 0): 400, ((1, 1, 0, -1, -1, -1), 0): 20}
     assert any(0 in g and 1 in g for g in T.LabelModel(counts).groups)
