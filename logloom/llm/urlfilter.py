@@ -5,7 +5,8 @@ that the rules accept and reject. A context is the longest suffix, of up to
 ``ORDER`` symbols, seen often enough to be a node (at least 1 / ``NODES`` of
 the class's symbols, so each order has at most NODES of them); probabilities are
 interpolated with the next shorter context. A URL's score is the mean log
-ratio of the two models over its symbols; the threshold is calibrated on the
+ratio of the two models over its symbols (all after ``://``, query and
+fragment included; the scheme is not read); the threshold is calibrated on the
 scores of the ruled URLs (balanced error is least). Under it, the verdict is
 block.
 
@@ -13,8 +14,9 @@ Counting is one scan and one shuffle of at most 32 ** (ORDER + 1) keys; the
 model is two fixed-size arrays (node of each context, ratio of each node and
 symbol), folded into literals, so scoring is one more scan, without join.
 
-Defined cases: a null url or one without ``://`` has an empty host and path
-and gets allow (nothing to score); with no accepted or no rejected URL to learn
+Defined cases: a null url or one without ``://`` has an empty host and path;
+null and empty urls get allow (nothing to score), others without ``://`` are
+scored as they stand; with no accepted or no rejected URL to learn
 from, all unruled URLs are allowed; repeated rows are judged alike; an empty
 table gives an empty result; other columns are not read.
 """
@@ -51,6 +53,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
+def scored_of(url: Column) -> Column:
+    """What the models read: all that follows the first ://, query and fragment included; the whole url without ://."""
+    known = F.coalesce(url, F.lit(""))
+    return F.when(known.contains("://"), F.regexp_extract(known, r"(?s)^.*?://(.*)$", 1)).otherwise(known)
+
+
 def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits (host length, then path length), else nulls."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -147,9 +155,9 @@ def calibrated(bins: list[tuple[int, int, int]]) -> float | None:
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (thousandths; null where there is no model or symbol) of every row."""
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), scored_of(F.col(url)).alias("_u"))
     rows = rows.withColumns({"rule": rule, "_v": verdict})
-    full = F.concat("host", "path")
+    full = F.col("_u")
     rows = rows.withColumn("_s", F.when(full == "", F.array().cast("array<int>")).otherwise(symbols(full))).withColumn("_c", contexts("_s"))
     codes = rows.select("_v", F.explode_outer("_c").alias("c")).filter("_v is not null and c is not null")
     counts = codes.groupBy("c").agg(F.count_if(F.col("_v") == "allow").alias("a"), F.count_if(F.col("_v") == "block").alias("r"))

@@ -60,6 +60,15 @@ def test_model_matches_its_definition_and_separates(spark):
         assert math.isclose(got, r.score)
 
 
+def test_query_fragment_and_urls_without_scheme_are_scored(spark):
+    good = [f"http://calm{i % 7}.org/garden/{i}?ref=home#top" for i in range(200)]
+    bad = [f"http://xxbet{i % 7}.com/de/casino/{i}?bonus=win#jackpot" for i in range(200)]
+    new = ["http://m.net/p?ref=home", "http://m.net/p?bonus=win", "http://m.net/p#top", "http://m.net/p#jackpot", "calm9.net/garden/77", "xxbet9.net/casino/88"]
+    out = U.judge(spark.createDataFrame(list(enumerate(good + bad + new)), "page_id long, url string")).collect()[-6:]
+    assert [r.verdict for r in out] == ["allow", "block"] * 3
+    assert (out[0].host, out[0].path) == (out[1].host, out[1].path) == ("m.net", "/p") and (out[5].host, out[5].path) == ("", "")
+
+
 def test_nothing_to_learn_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     assert [r.verdict for r in U.judge(pages).collect()] == ["allow"]
