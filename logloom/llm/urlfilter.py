@@ -2,9 +2,9 @@
 
 Two variable-order Markov models over 32 symbols are learned from the URLs
 that the rules accept and reject. A context is the longest suffix, of up to
-``ORDER`` symbols, seen often enough to be a node (at least 1 / ``NODES`` of
-the class's symbols, so each order has at most NODES of them); probabilities are
-interpolated with the next shorter context. A URL's score is the mean log
+``ORDER`` symbols, seen ``SEEN`` times or more, whatever the size of the corpus:
+the model grows with the input, up to all 32 ** ORDER contexts. Probabilities
+are interpolated with the next shorter context. A URL's score is the mean log
 ratio of the two models over its symbols (all after ``://``, query and
 fragment included; the scheme is not read); the threshold is calibrated on the
 scores of the ruled URLs (balanced error is least). Under it, the verdict is
@@ -35,7 +35,8 @@ from .common import table
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 ALPHABET = 32
 ORDER = 3
-NODES = 512
+#: Times that a context is seen, in both classes together, before it is a node.
+SEEN = 8
 #: Weight of the shorter context in interpolation.
 SMOOTH = 4.0
 BINS = 400
@@ -111,7 +112,7 @@ class Ratio:
         for k in range(ORDER + 1):
             for context in sorted(tables[k]):
                 counts_of = tables[k][context]
-                if k and not any(sum(counts_of[c]) * NODES >= max(1, totals[c]) for c in (0, 1)):
+                if k and sum(map(sum, counts_of)) < SEEN:
                     continue
                 shorter = self._node(context, k - 1) if k else None
                 low = probabilities[shorter] if shorter else [uniform, uniform]

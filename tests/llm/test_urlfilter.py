@@ -69,6 +69,17 @@ def test_query_fragment_and_urls_without_scheme_are_scored(spark):
     assert (out[0].host, out[0].path) == (out[1].host, out[1].path) == ("m.net", "/p") and (out[5].host, out[5].path) == ("", "")
 
 
+def test_model_grows_with_the_input():
+    rare = [((5 * 32 + 6) * 32 + 7) * 32 + 8, ((9 * 32 + 6) * 32 + 7) * 32 + 8]
+    hot = [(c, 5000, 5000) for c in range(0, 32**4, 32**2 * 37)]
+    small = U.Ratio([(rare[0], 9, 0), (rare[1], 2, 1)])
+    large = U.Ratio([(rare[0], 9, 0), (rare[1], 2, 1), *hot])
+    assert (3, rare[0] // 32) in small.nodes and (3, rare[1] // 32) not in small.nodes
+    assert set(small.nodes) < set(large.nodes)
+    # A context once seen often enough stays a node however much else is seen.
+    assert (3, rare[0] // 32) in large.nodes and large.of_context[rare[0] // 32] == large.nodes[(3, rare[0] // 32)]
+
+
 def test_nothing_to_learn_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     assert [r.verdict for r in U.judge(pages).collect()] == ["allow"]
