@@ -41,8 +41,8 @@ ASSIGN = r"(" + "|".join(map(_either_case, NAMES.split())) + r")[\"']?\x20*[:=]\
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 LEAST_VALUE = 6
-#: Candidates of the method: tokens of 20 to 200 characters that hold letters and digits.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"
+#: Candidates of the method: tokens of 20 characters or more, of any length, that hold letters and digits.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 #: A value in more repositories or owners than this is a copied example.
 MAX_OWNERS = 2
 #: Distinct characters that a live-looking value has at least.

@@ -72,5 +72,14 @@ def test_stage_redacts_and_keeps_every_row(spark):
     assert by[7].text is None and by[8].text == ""
 
 
+def test_long_credentials_are_candidates(spark):
+    digest = "".join(hashlib.sha256(bytes([i, j])).hexdigest().upper() for i in range(25) for j in range(25))
+    long = [digest[:201], digest[300:642], digest[1000:31000]]
+    docs = spark.createDataFrame([(i, f"see {v} here", "en", "s", 5) for i, v in enumerate(long)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r._spans] for r in S.scan(docs).collect()}
+    assert got == {i: [(4, 3, 4 + len(v))] for i, v in enumerate(long)}
+    assert {r.text for r in S.stage(spark, docs, "").collect()} == {"see [SECRET] here"}
+
+
 def test_empty_table(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
