@@ -4,8 +4,7 @@
 wildcard. ``mine`` clusters a whole column in two steps that do not depend on
 how rows are dealt out: distinct masked messages are counted first (a message
 that a third of all rows share becomes one row), then the messages of one
-length and first word are clustered in text order; groups too large for a task are
-cut by their second token before that.
+length, first and second word are clustered in text order, however many they are.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 
 WILD = "<*>"
 SIMILAR = 0.4
-#: Distinct messages of one length and first word that are clustered together.
-GROUP = 20_000
 
 
 def masked(text: Column) -> Column:
@@ -51,8 +48,6 @@ def mine(df: DataFrame, text: str = "raw") -> DataFrame:
     distinct = rows.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("example"))
     token = F.split(F.trim("m"), r"\s+")
     keyed = distinct.withColumn("size", F.size(token)).withColumn("head", F.get(token, 0)).withColumn("second", F.coalesce(F.get(token, 1), F.lit("")))
-    sizes = keyed.groupBy("size", "head").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > GROUP).withColumn("large", F.lit(True))
-    keyed = keyed.join(sizes, ["size", "head"], "left").withColumn("part", F.when(F.col("large"), F.col("second")).otherwise(""))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("m", ignore_index=True)
@@ -64,7 +59,7 @@ def mine(df: DataFrame, text: str = "raw") -> DataFrame:
             out.append((" ".join(kept), int(g["n"].sum()), g["example"].min()))
         return pd.DataFrame(out, columns=["template", "n", "example"]).astype({"template": object, "example": object})
 
-    return keyed.select("size", "head", "part", "m", "n", "example").groupBy("size", "head", "part").applyInPandas(work, "template string, n long, example string")
+    return keyed.select("size", "head", "second", "m", "n", "example").groupBy("size", "head", "second").applyInPandas(work, "template string, n long, example string")
 
 
 def streaming_miner() -> type:

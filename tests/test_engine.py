@@ -51,6 +51,14 @@ def test_templates(spark):
     assert templates.cluster([["a", "b", "c"], ["a", "x", "c"], ["q", "r", "s"]]) == [0, 0, 1]
 
 
+def test_templates_do_not_depend_on_the_number_of_messages(spark):
+    few = [(f"user {u} logged in here",) for u in ("ann", "bob", "eve")]
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05}")
+    many = [(f"user zed logged in {name(i)}",) for i in range(20_001)]
+    small, large = ({r.template: r.n for r in templates.mine(spark.createDataFrame(rows, "raw string")).collect()} for rows in (few, few + many))
+    assert large == small | {"user zed logged in <*>": 20_001}
+
+
 def test_store(spark, tmp_path):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     raw = spark.createDataFrame([(str(i), "a" if i % 2 else "b", f"r{i}", t(i)) for i in range(10)], "event_id string, source string, raw_log string, ingested_at timestamp_ntz")
