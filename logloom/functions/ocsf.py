@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .columns import Pattern, lookup, strip
+from . import sqltext as F
+from .columns import Pattern, Steps, guarded, lookup, some, strip
+from .sqltext import Sql, of
 
 # Class table (uid: class, category uid, category).
 CLASSES = {
@@ -38,92 +39,91 @@ WEIGHTS = {"format": 0.10, "pattern": 0.15, "source": 0.15, "parser": 0.25, "sem
 CORE = {"windows": 6, "linux": 6, "android": 5}
 
 
-def class_uid(requested: Column) -> Column:
+def class_uid(requested: Sql) -> Sql:
     """The requested class where it is known, else 1001."""
     uid = F.expr("1001").cast("int")
     number = requested.try_cast("int")
     return F.when(number.isin(*CLASSES), number).otherwise(uid)
 
 
-def class_field(uid: Column, at: int) -> Column:
+def class_field(uid: Sql, at: int) -> Sql:
     return lookup({k: v[at] for k, v in CLASSES.items()}, uid, "int" if at == 1 else "string")
 
 
-def severity_id(level: Column) -> Column:
+def severity_id(level: Sql) -> Sql:
     """Id of a level word; informational for an empty or unknown one."""
-    key = F.lower(strip(level))
-    out = F.lit(1)
-    for i, names in SEVERITY_WORDS.items():
-        out = F.when(key.isin(*names), i).otherwise(out)
-    return F.coalesce(out, F.lit(1)).cast("int")
+    words = {w: i for i, names in SEVERITY_WORDS.items() for w in names}
+    return F.coalesce(lookup(words, F.lower(strip(level)), "int"), F.lit(1))
 
 
-def severity_name(sev: Column) -> Column:
+def severity_name(sev: Sql) -> Sql:
     return F.get(F.array(*map(F.lit, SEVERITY_NAMES)), sev)
 
 
-def coerced(value: Column) -> Column:
+def coerced(value: Sql) -> Sql:
     """Digits become a number (leading zeros go), all else stays text; both as text."""
     return F.when(value.rlike("^[0-9]{1,18}$"), value.cast("bigint").cast("string")).otherwise(value)
 
 
 _ISO = Pattern(r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}:?\d{2})?$")
+_WHOLE = Pattern(r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}):(\d{2})(?:\.(\d{1,6}))?$")
 
 
-def _iso_text(day: Column, hm: Column, sec: Column, frac: Column, zone: Column) -> Column:
+def _iso_text(day: Sql, hm: Sql, sec: Sql, frac: Sql, zone: Sql) -> Sql:
     """Canonical ISO text, null unless it is a real time."""
     clock = F.concat(F.coalesce(hm, F.lit("00:00")), F.lit(":"), F.coalesce(sec, F.lit("00")))
-    real = F.try_to_timestamp(F.concat(day, F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
+    real = F.concat(day, F.lit(" "), clock).try_cast("timestamp_ntz").isNotNull()
     micro = F.rpad(F.coalesce(frac, F.lit("")), 6, "0")
     part = F.when(micro == "000000", "").otherwise(F.concat(F.lit("."), micro))
     z = F.when(zone.isNull(), "").when(zone == "Z", "+00:00").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2)))
     return F.when(real, F.concat(day, F.lit("T"), clock, part, z))
 
 
-_WHOLE = Pattern(r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}):(\d{2})(?:\.(\d{1,6}))?$")
-
+def time_parts(f: dict[str, Sql]) -> dict[str, Sql]:
+    """Columns that time_tries() reads: groups of the full datetime and of the ISO timestamp, and the parts of a clock time."""
+    whole, iso = strip(f["datetime"]), f["timestamp"]
+    clock = F.split(F.concat(strip(f["time"]), F.lit(":0:0")), ":")
+    return {"_g": F.when(_WHOLE.found(whole), _WHOLE.groups(whole)), "_i": F.when(_ISO.found(iso), _ISO.groups(iso)), "_c": F.when(f["month"].isNotNull() & f["day"].isNotNull(), clock)}
 
-def _stamp(f: Column, *keys: str) -> Column:
-    return F.coalesce(*(F.nullif(F.element_at(f, k), F.lit("")) for k in keys))
 
+def time_tries(f: dict[str, Sql], year: int) -> dict[str, Sql]:
+    """The four ways to read a time, null where they don't apply: datetime, date and time, month day time, ISO text."""
+    g, i, parts = F.col("_g"), F.col("_i"), F.col("_c")
+    utc, nothing = F.lit("+00:00"), F.lit(None).cast("string")
+    date, clock, month = f["date"], f["time"], f["month"]
+    by_date = date.rlike(r"^\d{4}-\d{2}-\d{2}$") & clock.rlike(r"^\d{2}:\d{2}:\d{2}$")
+    by_name = F.coalesce(lookup({m: i + 1 for i, m in enumerate(MONTHS)}, F.substring(strip(month), 1, 3), "int"), F.lit(1))
+    mm = F.when(month.rlike("^[0-9]+$"), month.try_cast("int")).otherwise(by_name)
+    sec = F.split(F.get(parts, 2), r"\.")
+    two = lambda c: F.lpad(c.try_cast("int").cast("string"), 2, "0")
+    ymd = F.concat(F.lit(f"{year:04d}-"), two(mm), F.lit("-"), two(f["day"]))
+    hms = F.concat(two(F.get(parts, 0)), F.lit(":"), two(F.get(parts, 1)))
+    return {
+        "_t1": guarded(g.isNotNull(), _iso_text(F.get(g, 0), F.get(g, 1), F.get(g, 2), some(F.get(g, 3)), utc)),
+        "_t2": F.when(date.isNotNull() & clock.isNotNull() & by_date, _iso_text(date, F.substring(clock, 1, 5), F.substring(clock, 7, 2), nothing, utc)),
+        "_t3": F.when(parts.isNotNull(), _iso_text(ymd, hms, two(F.get(sec, 0)), F.substring(F.get(sec, 1), 1, 6), utc)),
+        "_t4": F.when(i.isNotNull(), _iso_text(F.get(i, 0), some(F.get(i, 1)), some(F.get(i, 2)), some(F.get(i, 3)), some(F.get(i, 4)))),
+    }
 
-def time_groups(f: Column) -> tuple[Column, Column]:
-    """Parts of the full datetime and of the ISO timestamp of a field map, null where there is none."""
-    dt, ts = strip(_stamp(f, "datetime", "date_time")), _stamp(f, "timestamp", "time_iso")
-    return F.when(_WHOLE.found(dt), _WHOLE.groups(dt)), F.when(_ISO.found(ts), _ISO.groups(ts))
 
+def time_of(f: dict[str, Sql], reference_now: str) -> tuple[Sql, Sql]:
+    """(time, original_time): the first way that gives a time, else reference_now."""
+    month, day, clock, iso = f["month"], f["day"], f["time"], f["timestamp"]
+    dated = F.when(month.rlike("^[0-9]+$"), F.concat(month, F.lit("-"), day, F.lit(" "), clock)).otherwise(F.concat_ws(" ", month, day, clock))
+    raw = F.coalesce(strip(f["datetime"]), F.when(F.col("_c").isNotNull(), F.concat_ws(" ", month, day, clock)))
+    time = F.coalesce("_t1", "_t2", "_t3", "_t4", F.lit(reference_now))
+    original = F.when(F.col("_t1").isNotNull(), strip(f["datetime"])).when(F.col("_t2").isNotNull(), F.concat_ws(" ", f["date"], clock)).when(F.col("_t3").isNotNull(), dated).when(iso.isNotNull(), iso).otherwise(strip(raw))
+    return time, original
 
-def event_time(f: Column, reference_now: str, reference_year: int, groups: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
-    """(time, original_time) of a field map, by five steps: datetime, date and time, month day time, ISO text, reference_now.
 
-    groups are time_groups(f), as columns of their own where speed counts.
-    """
-    get = lambda k: F.nullif(F.element_at(f, k), F.lit(""))
-    dt = _stamp(f, "datetime", "date_time")
-    g, i = groups or time_groups(f)
-    utc = F.lit("+00:00")
-    none = lambda c: F.nullif(c, F.lit(""))
-    one = F.when(g.isNotNull(), _iso_text(F.get(g, 0), F.get(g, 1), F.get(g, 2), none(F.get(g, 3)), utc))
-    date, clock = get("date"), get("time")
-    two = F.when(date.contains("-") & date.rlike(r"^\d{4}-\d{2}-\d{2}$") & clock.rlike(r"^\d{2}:\d{2}:\d{2}$"), _iso_text(date, F.substring(clock, 1, 5), F.substring(clock, 7, 2), F.lit(None).cast("string"), utc))
-    month, day = get("month"), get("day")
-    numeric = month.rlike("^[0-9]+$")
-    by_name = F.coalesce(lookup({m: i + 1 for i, m in enumerate(MONTHS)}, F.substring(strip(month), 1, 3), "int"), F.lit(1))
-    mm = F.when(numeric, month.try_cast("int")).otherwise(by_name)
-    parts = F.split(F.concat(strip(clock), F.lit(":0:0")), ":")
-    sec = F.split(F.get(parts, 2), r"\.")
-    two_digits = lambda c: F.lpad(c.try_cast("int").cast("string"), 2, "0")
-    ymd = F.concat(F.lit(f"{reference_year:04d}-"), two_digits(mm), F.lit("-"), two_digits(day))
-    hms = F.concat(two_digits(F.get(parts, 0)), F.lit(":"), two_digits(F.get(parts, 1)))
-    has3 = month.isNotNull() & day.isNotNull() & clock.isNotNull()
-    three = F.when(has3, _iso_text(ymd, hms, two_digits(F.get(sec, 0)), F.substring(F.get(sec, 1), 1, 6), utc))
-    three_text = F.when(numeric, F.concat(month, F.lit("-"), day, F.lit(" "), clock)).otherwise(F.concat_ws(" ", month, day, clock))
-    ts = F.coalesce(get("timestamp"), get("time_iso"))
-    four = F.when(i.isNotNull(), _iso_text(F.get(i, 0), none(F.get(i, 1)), none(F.get(i, 2)), none(F.get(i, 3)), none(F.get(i, 4))))
-    raw = F.coalesce(dt, F.when(has3, F.concat_ws(" ", month, day, clock)))
-    time = F.coalesce(one, two, three, four, F.lit(reference_now))
-    original = F.when(one.isNotNull(), strip(dt)).when(two.isNotNull(), F.concat_ws(" ", date, clock)).when(three.isNotNull(), three_text).when(ts.isNotNull(), ts).otherwise(strip(raw))
-    return time, original
+def event_time(df: DataFrame, fields: str, reference_now: str, reference_year: int) -> DataFrame:
+    """df with time and original_time of a column of field maps."""
+    held = lambda *names: F.coalesce(*(some(F.element_at(F.col(fields), F.lit(n))) for n in names))
+    names = {"datetime": ("datetime", "date_time"), "date": ("date",), "time": ("time",), "month": ("month",), "day": ("day",), "timestamp": ("timestamp", "time_iso")}
+    f = {n: held(*x) for n, x in names.items()}
+    time, original = time_of(f, reference_now)
+    steps = Steps().withColumns(time_parts(f)).withColumns(time_tries(f, reference_year))
+    return steps.on(df, {c: F.col(c) for c in df.columns} | {"time": time, "original_time": original})
 
 
 # Fixed value: an address that no longer dotted run or version word just before it surrounds.
@@ -134,15 +134,16 @@ ADDRESS = (
 )
 
 
-def addresses(raw: Column) -> Column:
-    """IP addresses of a text in order of first sight; a cheap test spares most texts the look-behinds."""
-    found = F.regexp_extract_all(raw, F.lit(ADDRESS), F.lit(1))
-    valid = F.filter(found, lambda a: F.forall(F.split(a, r"\."), lambda o: o.try_cast("int") <= 255))
-    empty = F.array().cast("array<string>")
-    return F.when(raw.rlike(r"\d\.\d{1,3}\.\d{1,3}\.\d"), F.array_distinct(valid)).otherwise(empty)
+def addresses(raw):
+    """IP addresses of a text in order of first sight (a Column for a Column); a cheap test spares most texts the look-behinds."""
+    f = of(raw)
+    found = f.regexp_extract_all(raw, f.lit(ADDRESS), f.lit(1))
+    valid = f.filter(found, lambda a: f.forall(f.split(a, r"\."), lambda o: o.try_cast("int") <= 255))
+    empty = f.array().cast("array<string>")
+    return f.when(raw.rlike(r"\d\.\d{1,3}\.\d{1,3}\.\d"), f.array_distinct(valid)).otherwise(empty)
 
 
-def observables(raw: Column) -> Column:
+def observables(raw: Sql) -> Sql:
     return F.transform(addresses(raw), lambda a: F.struct(F.lit("ip").alias("name"), F.lit("IP Address").alias("type"), a.alias("value")))
 
 
@@ -159,11 +160,11 @@ def weighted(scores: dict[str, float]) -> float:
     return round(min(1.0, max(0.0, total)), 3)
 
 
-def _table(values: list[float]) -> Column:
+def _table(values: list[float]) -> Sql:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def family_confidence(family: str, present: Column, extracted: Column, source_known: Column, confident: Column) -> dict[str, Column]:
+def family_confidence(family: str, present: Sql, extracted: Sql, source_known: Sql, confident: Sql) -> dict[str, Sql]:
     """Stage scores and their aggregate, looked up in a table made at plan time (so rounding is exact)."""
     e = CORE[family]
     near = F.least(extracted, F.lit(e + 3))

@@ -1,261 +1,265 @@
 """Linux family: syslog (two RFCs), kernel ring buffer, auditd and journald records.
 
-``parse`` works in three native steps, each its own column: detect the
-format, read the envelope, pick the first taxonomy rule that fits. A rule is a
-number; class, activity and the rest come from a table by that number, so the
-rules' order alone decides.
+Three native steps, each its own columns: detect the format, read the
+envelope, pick the first taxonomy rule that fits. A rule is one pattern, so its
+leftmost match decides; what the rule says may turn on one captured word
+(Accepted or Failed). Rule and word give a number, and class, activity and the
+rest are read from tables by that number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from ..functions.columns import Pattern, apart, as_map, by_number, first_wins, literal_map, pairs, strip, word
-from .parsed import TYPE, parsed, present
+from ..functions import sqltext as F
+from ..functions.columns import MAP, Pattern, Steps, as_map, at, by_number, first_wins, guarded, how_many, literal_map, lookup, pairs, some, strip
+from ..functions.sqltext import Sql
+from .parsed import Parsed, rows
 
 # Syslog severity words by number; parser ids by format.
 SEVERITIES = "emergency alert critical error warning notice informational debug".split()
 PARSER_IDS = {"rfc3164": "LINUX-SYSLOG-RFC3164", "rfc5424": "LINUX-SYSLOG-RFC5424", "dmesg": "LINUX-KERNEL-DMESG", "auditd": "LINUX-AUDITD", "journald_json": "LINUX-JOURNALD-JSON"}
 
-# Record formats.
+# How the first line of a format looks, and whole records.
 APPLE = r"\blaunchd\[\d+\]|\bkernel\[\d+\]:|com\.apple\."
-RFC3164 = Pattern(r"^(?:<(?P<pri>\d{1,3})>)?(?P<month>[A-Z][a-z]{2})\s+(?P<day>\d{1,2})\s+(?P<time>\d{2}:\d{2}:\d{2})\s+(?P<host>[\w.\-]+)\s+(?P<program>[\w.\-/]+?)(?:\[(?P<pid>\d+)\])?:\s?(?P<message>.*)$", "sd")
-RFC5424 = Pattern(r"^<(?P<pri>\d{1,3})>(?P<version>\d)\s+(?P<ts>\S+)\s+(?P<host>\S+)\s+(?P<program>\S+)\s+(?P<pid>\S+)\s+(?P<msgid>\S+)\s+(?P<rest>.*)$", "sd")
-DMESG = Pattern(r"^\[\s*(?P<uptime>\d+\.\d+)\]\s+(?P<message>\S.*)$")
-AUDIT = Pattern(r"^type=(?P<type>\w+)\s+(?:msg=)?audit\((?P<epoch>\d+\.\d+):(?P<serial>\d+)\):\s*(?P<rest>.*)$", "sd")
+LOOKS = {
+    "auditd": r"^type=\w+\s+(?:msg=)?audit\(\d+\.\d+:\d+\):",
+    "rfc5424": r"^<\d{1,3}>\d\s+\S+\s+\S+\s+\S+\s+\S+\s+\S+",
+    "rfc3164": r"^(?:<\d{1,3}>)?[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+[\w.\-]+\s+[\w.\-/]+(?:\[\d+\])?:",
+    "dmesg": r"^\[\s*\d+\.\d+\]\s+\S",
+}
+RECORDS = {
+    "auditd": Pattern(r"^type=(?P<type>\w+)\s+(?:msg=)?audit\((?P<epoch>\d+\.\d+):(?P<serial>\d+)\):\s*(?P<message>.*)$", "sd"),
+    "rfc5424": Pattern(r"^<(?P<pri>\d{1,3})>(?P<version>\d)\s+(?P<timestamp>\S+)\s+(?P<hostname>\S+)\s+(?P<program>\S+)\s+(?P<pid>\S+)\s+(?P<msgid>\S+)\s+(?P<message>.*)$", "sd"),
+    "rfc3164": Pattern(r"^(?:<(?P<pri>\d{1,3})>)?(?P<month>[A-Z][a-z]{2})\s+(?P<day>\d{1,2})\s+(?P<time>\d{2}:\d{2}:\d{2})\s+(?P<hostname>[\w.\-]+)\s+(?P<program>[\w.\-/]+?)(?:\[(?P<pid>\d+)\])?:\s?(?P<message>.*)$", "sd"),
+    "dmesg": Pattern(r"^\[\s*(?P<uptime>\d+\.\d+)\]\s+(?P<message>.*)$"),
+}
+SUBSYSTEM = r"^([\w.\-]+):\s+"
 AUDIT_PAIR = r"(\w+)=(\"[^\"]*\"|'[^']*'|\S+)"
 JOURNAL_KEYS = ["PRIORITY", "SYSLOG_IDENTIFIER", "_SYSTEMD_UNIT", "_PID", "_HOSTNAME", "_COMM", "SYSLOG_FACILITY"]
+#: What an envelope holds, in this order.
+HEAD = "month day time timestamp hostname program pid pri message version msgid uptime type epoch serial".split()
+#: What a rule can capture, in this order; outcome is the word that a rule's verdict turns on.
+CAPTURED = "outcome user src_ip src_port dst_ip dst_port protocol auth_method auth_protocol http_method http_uri http_status command process".split()
+#: Event path of each captured field; others stay unmapped under their own name.
+MAPPED = {"user": "actor.user.name", "src_ip": "src_endpoint.ip", "src_port": "src_endpoint.port", "dst_ip": "dst_endpoint.ip", "dst_port": "dst_endpoint.port", "protocol": "connection_info.protocol_name", "auth_protocol": "auth_protocol", "http_method": "http_request.http_method", "http_uri": "http_request.url.path", "http_status": "http_response.code", "command": "actor.process.cmd_line"}
+KEPT = ("auth_method", "fw_action")
+
+
+@dataclass
+class Says:
+    """What a rule says of a record; None leaves a thing open."""
 
-USER = {"actor.user.name": "user", "actor.user.uid": "uid"}
-SOURCE_IP = {"src_endpoint.ip": "src_ip"}
-SOURCE = SOURCE_IP | {"src_endpoint.port": "src_port"}
-NET = SOURCE | {"dst_endpoint.ip": "dst_ip", "dst_endpoint.port": "dst_port", "connection_info.protocol_name": "protocol"}
-HTTP = SOURCE_IP | {"http_request.http_method": "http_method", "http_request.url.path": "http_uri", "http_response.code": "http_status"}
-COMMAND = {"actor.process.cmd_line": "command"}
-BASE = {"device.hostname": "hostname", "actor.process.name": "program", "actor.process.pid": "pid"}
+    activity: tuple[int, str]
+    severity: int | None = None
+    status: tuple[str, int] | None = None
 
 
 @dataclass
 class Rule:
-    """One taxonomy rule: what selects it, what it says, what it promotes."""
+    """One taxonomy rule: its pattern, words of which a message that fits holds one, and what it says (otherwise: where the outcome is one of the words)."""
 
-    pattern: Pattern | str | None
+    pattern: Pattern | None
+    words: tuple[str, ...]
     class_uid: int
-    activity: tuple[int, str]
     category: str
     source: str
-    severity: int | None = None
-    status: tuple[str, int] | None = None
-    mapping: dict[str, str] = field(default_factory=dict)
-    fields: tuple[str, ...] = ()
+    says: Says
     programs: tuple[str, ...] = ()
-    replaces: tuple[str, ...] = ()
+    turns: tuple[str, ...] = ()
+    otherwise: Says | None = field(default=None)
 
 
 SUCCESS, FAILURE = ("Success", 1), ("Failure", 2)
-LOGON, LAUNCH, END, TRAFFIC = (1, "Logon"), (1, "Launch"), (4, "Terminate"), (6, "Traffic")
+LOGON, LAUNCH, END, TRAFFIC, HTTP = (1, "Logon"), (1, "Launch"), (4, "Terminate"), (6, "Traffic"), (0, "HTTP Request")
 WEB = ("nginx", "apache2", "httpd", "apache")
-_AUTH, _ID, _PROC, _NETWORK = "Authentication", "Identity & Access Management", "Process Activity", "Network Activity"
-_SSH = r"for\s+(?:invalid user\s+)?(?P<user>\S+)\s+from\s+(?P<src_ip>[\da-fA-F.:]+)\s+port\s+(?P<src_port>\d+)(?:\s+(?P<auth_protocol>ssh\d))?"
-_METHOD = r"\s+(?P<auth_method>password|publickey|keyboard-interactive|none)\s+"
-_SSH_MAP = {"actor.user.name": "user", "actor.user.uid": "uid", "auth_protocol": "auth_protocol"} | SOURCE
-_ACCESS = r'^(?P<src_ip>\d{1,3}(?:\.\d{1,3}){3})\s+\S+\s+\S+\s+.*?"(?P<http_method>[A-Z]+)\s+(?P<http_uri>\S+)\s+HTTP/[\d.]+"\s+(?P<http_status>'
-_PACKET = r"SRC=(?P<src_ip>[\d.]+).*?DST=(?P<dst_ip>[\d.]+)(?:.*?PROTO=(?P<protocol>\w+))?(?:.*?SPT=(?P<src_port>\d+))?(?:.*?DPT=(?P<dst_port>\d+))?"
-_SRC_AUTH = ("user", "src_ip", "src_port", "auth_method", "auth_protocol")
-
-# Patterns, in rule order. What the formats' outcomes tell apart is a rule of its own.
+_AUTH, _ID, _PROC, _NETWORK, _WEB = "Authentication", "Identity & Access Management", "Process Activity", "Network Activity", "HTTP Activity"
+
+# The rules' patterns and verdicts, in rule order. Severity 3 is Medium, 4 High.
 RULES = [
-    Rule(Pattern(_ACCESS + r"[45]\d\d)"), 4002, (0, "HTTP Request"), "HTTP Activity", "Linux web", 3, None, HTTP, ("src_ip", "http_method", "http_uri", "http_status"), WEB),
-    Rule(Pattern(_ACCESS + r"\d{3})"), 4002, (0, "HTTP Request"), "HTTP Activity", "Linux web", None, None, HTTP, ("src_ip", "http_method", "http_uri", "http_status"), WEB),
-    Rule(Pattern(r"\[error\]\s+client\s+(?P<src_ip>[\d.]+)"), 4002, (0, "HTTP Request"), "HTTP Activity", "Linux web", 3, None, SOURCE_IP, ("src_ip",), WEB),
-    Rule(Pattern(r"\bAccepted" + _METHOD + _SSH), 3002, LOGON, _AUTH, "Linux auth", None, SUCCESS, _SSH_MAP, _SRC_AUTH),
-    Rule(Pattern(r"\bFailed" + _METHOD + _SSH), 3002, LOGON, _AUTH, "Linux auth", 3, FAILURE, _SSH_MAP, _SRC_AUTH),
-    Rule(Pattern(r"[Ii]nvalid user\s+(?P<user>\S+)\s+from\s+(?P<src_ip>[\da-fA-F.:]+)(?:\s+port\s+(?P<src_port>\d+))?"), 3002, LOGON, _AUTH, "Linux auth", 3, FAILURE, USER | SOURCE, ("user", "src_ip", "src_port")),
-    Rule(Pattern(r"pam_unix\(sshd:session\):\s+session\s+(?:opened|closed)\s+for\s+user\s+(?P<user>[\w.\-]+)"), 3002, LOGON, _AUTH, "Linux auth", None, SUCCESS, USER, ("user",)),
-    Rule(Pattern(r"connection authorized:\s+user=(?P<user>[\w.\-]+)\s+database=[\w.\-]+(?:\s+client=(?P<src_ip>[\d.]+))?"), 3002, LOGON, _AUTH, "Linux database", None, SUCCESS, USER | SOURCE_IP, ("user", "src_ip")),
-    Rule(Pattern(r'password authentication failed for user\s+"(?P<user>[^"]+)"'), 3002, LOGON, _AUTH, "Linux database", 3, FAILURE, USER, ("user",)),
-    Rule("USER_LOGIN", 3002, LOGON, _AUTH, "Linux auditd", None, None, USER | SOURCE_IP),
-    Rule(Pattern(r"\b(?:useradd|userdel|usermod|groupadd|groupdel|gpasswd|chpasswd|passwd)\b|new user:|new group:|password changed for"), 3005, (0, "Account Change"), _ID, "Linux account"),
-    Rule(Pattern(r"USER=\S+\s*;\s*COMMAND=(?P<command>.+)$", "sd"), 1007, LAUNCH, _PROC, "Linux sudo", None, None, COMMAND, ("command",)),
-    Rule(Pattern(r"CMD\s+\((?P<command>.+)\)\s*$", "sd"), 1007, LAUNCH, _PROC, "Linux cron", None, None, COMMAND, ("command",)),
-    Rule(Pattern(r"\bEXECVE\b.*?\ba0=\"?(?P<command>[^\"\s]+)\"?", "sd"), 1007, LAUNCH, _PROC, "Linux auditd", None, None, COMMAND, ("command",)),
-    Rule(Pattern(r"\bSYSCALL\b.*?\bexe=\"?(?P<command>[^\"\s]+)\"?", "sd"), 1007, LAUNCH, _PROC, "Linux auditd", None, None, COMMAND, ("command",)),
-    Rule(Pattern(r"(?:Out of memory|Memory cgroup out of memory|oom-kill).*?Killed process\s+\d+\s+\((?P<proc>[^)]+)\)", "sd"), 1007, END, _PROC, "Linux kernel", 4, None, {"actor.process.name": "proc"}, ("proc",), (), ("program",)),
-    Rule(Pattern(r"\boom-kill\b|Out of memory"), 1007, END, _PROC, "Linux kernel", 4),
-    Rule(Pattern(r"\bcontainer\s+(?P<container>\S+)\s+(?:exited|died)"), 1007, END, _PROC, "Linux container", None, None, {"actor.process.name": "container"}, ("container",), (), ("program",)),
-    Rule(Pattern(r"\bcontainer\s+(?P<container>\S+)\s+(?:started|created)"), 1007, LAUNCH, _PROC, "Linux container", None, None, {"actor.process.name": "container"}, ("container",), (), ("program",)),
-    Rule(Pattern(r"\bsegfault at\b|\btraps:\s"), 1007, END, _PROC, "Linux kernel", 4),
-    Rule(Pattern(_PACKET, "sd"), 4001, TRAFFIC, _NETWORK, "Linux netfilter", None, None, NET, ("src_ip", "dst_ip", "protocol", "src_port", "dst_port"), ("kernel",)),
-    Rule(Pattern(r"TCP:\s+Possible SYN flooding"), 4001, TRAFFIC, _NETWORK, "Linux kernel", 4),
-    Rule(Pattern(r"\bBan\s+(?P<src_ip>[\d.]+)"), 4001, TRAFFIC, _NETWORK, "Linux fail2ban", 3, None, SOURCE_IP, ("src_ip",)),
-    Rule(Pattern(r"\bUnban\s+(?P<src_ip>[\d.]+)"), 4001, TRAFFIC, _NETWORK, "Linux fail2ban", None, None, SOURCE_IP, ("src_ip",)),
-    Rule(Pattern(r"DHCPACK of\s+(?P<ip>[\d.]+)"), 4001, TRAFFIC, _NETWORK, "Linux dhcp", None, None, {"dst_endpoint.ip": "ip"}, ("ip",)),
-    Rule(Pattern(r"DHCPACK|DHCPREQUEST|DHCPOFFER"), 4001, TRAFFIC, _NETWORK, "Linux dhcp", None, None, {"dst_endpoint.ip": "ip"}),
-    Rule(Pattern(r"(?i)apparmor.*denied|denied.*apparmor|i/o error|blk_update_request", "sd"), 1001, (0, "System Activity"), "System Activity", "Linux syslog", 4),
-    Rule(None, 1001, (0, "System Activity"), "System Activity", "Linux syslog"),
+    Rule(Pattern(r'^(?P<src_ip>\d{1,3}(?:\.\d{1,3}){3})\s+\S+\s+\S+\s+.*?"(?P<http_method>[A-Z]+)\s+(?P<http_uri>\S+)\s+HTTP/[\d.]+"\s+(?P<http_status>(?P<outcome>\d)\d{2})'), ("HTTP/",), 4002, _WEB, "Linux web", Says(HTTP), WEB, ("4", "5"), Says(HTTP, 3)),
+    Rule(Pattern(r"\[error\]\s+client\s+(?P<src_ip>[\d.]+)"), ("[error]",), 4002, _WEB, "Linux web", Says(HTTP, 3), WEB),
+    Rule(Pattern(r"\b(?P<outcome>Accepted|Failed)\s+(?P<auth_method>password|publickey|keyboard-interactive|none)\s+for\s+(?:invalid user\s+)?(?P<user>\S+)\s+from\s+(?P<src_ip>[\da-fA-F.:]+)\s+port\s+(?P<src_port>\d+)(?:\s+(?P<auth_protocol>ssh\d))?"), ("Accepted", "Failed"), 3002, _AUTH, "Linux auth", Says(LOGON, None, SUCCESS), (), ("Failed",), Says(LOGON, 3, FAILURE)),
+    Rule(Pattern(r"[Ii]nvalid user\s+(?P<user>\S+)\s+from\s+(?P<src_ip>[\da-fA-F.:]+)(?:\s+port\s+(?P<src_port>\d+))?"), ("nvalid user",), 3002, _AUTH, "Linux auth", Says(LOGON, 3, FAILURE)),
+    Rule(Pattern(r"pam_unix\(sshd:session\):\s+session\s+(?:opened|closed)\s+for\s+user\s+(?P<user>[\w.\-]+)"), ("pam_unix(sshd:session)",), 3002, _AUTH, "Linux auth", Says(LOGON, None, SUCCESS)),
+    Rule(Pattern(r"connection authorized:\s+user=(?P<user>[\w.\-]+)\s+database=(?:[\w.\-]+)(?:\s+client=(?P<src_ip>[\d.]+))?"), ("connection authorized:",), 3002, _AUTH, "Linux database", Says(LOGON, None, SUCCESS)),
+    Rule(Pattern(r'password authentication failed for user\s+"(?P<user>[^"]+)"'), ("password authentication failed",), 3002, _AUTH, "Linux database", Says(LOGON, 3, FAILURE)),
+    Rule(None, ("USER_LOGIN",), 3002, _AUTH, "Linux auditd", Says(LOGON)),
+    Rule(Pattern(r"\b(?:useradd|userdel|usermod|groupadd|groupdel|gpasswd|chpasswd|passwd)\b|new user:|new group:|password changed for"), ("useradd", "userdel", "usermod", "groupadd", "groupdel", "passwd", "new user:", "new group:", "password changed for"), 3005, _ID, "Linux account", Says((0, "Account Change"))),
+    Rule(Pattern(r"USER=\S+\s*;\s*COMMAND=(?P<command>.+)$", "sd"), ("COMMAND=",), 1007, _PROC, "Linux sudo", Says(LAUNCH)),
+    Rule(Pattern(r"CMD\s+\((?P<command>.+)\)\s*$", "sd"), ("CMD",), 1007, _PROC, "Linux cron", Says(LAUNCH)),
+    Rule(Pattern(r"\bEXECVE\b.*?\ba0=\"?(?P<command>[^\"\s]+)\"?", "sd"), ("EXECVE",), 1007, _PROC, "Linux auditd", Says(LAUNCH)),
+    Rule(Pattern(r"\bSYSCALL\b.*?\bexe=\"?(?P<command>[^\"\s]+)\"?", "sd"), ("SYSCALL",), 1007, _PROC, "Linux auditd", Says(LAUNCH)),
+    Rule(Pattern(r"(?:Out of memory|Memory cgroup out of memory|oom-kill).*?Killed process\s+\d+\s+\((?P<process>[^)]+)\)", "sd"), ("Killed process",), 1007, _PROC, "Linux kernel", Says(END, 4)),
+    Rule(Pattern(r"\boom-kill\b|Out of memory"), ("oom-kill", "Out of memory"), 1007, _PROC, "Linux kernel", Says(END, 4)),
+    Rule(Pattern(r"\bcontainer\s+(?P<process>\S+)\s+(?P<outcome>started|exited|created|died)"), ("container",), 1007, _PROC, "Linux container", Says(LAUNCH), (), ("exited", "died"), Says(END)),
+    Rule(Pattern(r"\bsegfault at\b|\btraps:\s"), ("segfault at", "traps:"), 1007, _PROC, "Linux kernel", Says(END, 4)),
+    Rule(Pattern(r"SRC=(?P<src_ip>[\d.]+).*?DST=(?P<dst_ip>[\d.]+)(?:.*?PROTO=(?P<protocol>\w+))?(?:.*?SPT=(?P<src_port>\d+))?(?:.*?DPT=(?P<dst_port>\d+))?", "sd"), ("SRC=",), 4001, _NETWORK, "Linux netfilter", Says(TRAFFIC), ("kernel",), ("BLOCK", "DROP", "REJECT"), Says(TRAFFIC, 3, FAILURE)),
+    Rule(Pattern(r"TCP:\s+Possible SYN flooding"), ("Possible SYN flooding",), 4001, _NETWORK, "Linux kernel", Says(TRAFFIC, 4)),
+    Rule(Pattern(r"\b(?P<outcome>Ban|Unban)\s+(?P<src_ip>[\d.]+)"), ("Ban", "Unban"), 4001, _NETWORK, "Linux fail2ban", Says(TRAFFIC), (), ("Ban",), Says(TRAFFIC, 3)),
+    Rule(Pattern(r"DHCPACK of\s+(?P<dst_ip>[\d.]+)|DHCPACK|DHCPREQUEST|DHCPOFFER"), ("DHCP",), 4001, _NETWORK, "Linux dhcp", Says(TRAFFIC)),
+    Rule(None, (), 1001, "System Activity", "Linux syslog", Says((0, "System Activity")), (), ("denied",), Says((0, "System Activity"), 4)),
 ]
-PACKET_RULE = next(i for i, r in enumerate(RULES) if r.source == "Linux netfilter")
-UFW = Pattern(r"\[UFW\s+(?P<a>[A-Z]+)\]|\b(?P<b>BLOCK|DROP|REJECT|ACCEPT|ALLOW)\b")
-BLOCKING = ("BLOCK", "DROP", "REJECT")
+PACKET = next(i for i, r in enumerate(RULES) if r.source == "Linux netfilter")
+UFW = Pattern(r"\[UFW\s+(?P<tagged>[A-Z]+)\]|\b(?P<bare>BLOCK|DROP|REJECT|ACCEPT|ALLOW)\b")
 
 
-def journal(text: Column) -> Column:
-    """Map of a JSON object with upper-case keys, null if it is none."""
-    obj = F.when(text.startswith("{") & text.endswith("}"), F.from_json(text, "map<string,string>"))
-    return first_wins(F.transform(F.map_entries(obj), lambda e: F.struct(F.upper(e["key"]).alias("k"), e["value"].alias("v"))))
-
-
-def detect(text: Column, keys: Column) -> Column:
-    """Linux format of a stripped record, null if it is none; keys are those of its JSON object, if it is one."""
-    first = F.substring_index(text, "\n", 1)
+def detect(text: Sql, first: Sql, keys: Sql) -> Sql:
+    """Linux format of a stripped record and its first line, null if it is none; keys are the upper-case keys of its JSON object, if it is one."""
     is_journal = F.array_contains(keys, "MESSAGE") & F.arrays_overlap(keys, F.array(*map(F.lit, JOURNAL_KEYS)))
-    plain = ~first.rlike(APPLE)
-    return (
-        F.when(F.coalesce(is_journal, F.lit(False)), "journald_json")
-        .when(plain & AUDIT.found(text), "auditd")
-        .when(plain & RFC5424.found(text), "rfc5424")
-        .when(plain & RFC3164.found(text), "rfc3164")
-        .when(plain & DMESG.found(first), "dmesg")
-    )
-
-
-ENVELOPE = ("month", "day", "time", "timestamp", "hostname", "program", "pid", "level", "message")
+    out = F.when(F.coalesce(is_journal, F.lit(False)), "journald_json")
+    for name, look in LOOKS.items():
+        out = out.when(first.rlike("(?d)" + look), F.when(~first.rlike(APPLE), name))
+    return out
 
 
-def _envelope(text: Column, **given: Column) -> Column:
-    native = given.pop("native", literal_map({}))
-    cols = [given.get(k, F.lit(None)).cast("string").alias(k) for k in ENVELOPE]
-    return F.struct(*cols, native.cast("map<string,string>").alias("native"))
+def _groups(text: Sql, first: Sql, fmt: Sql, keys: Sql, values: Sql) -> Sql:
+    """The HEAD values of a record; null where its first line alone looked like the format."""
+    get = lambda *names: F.coalesce(some(at(values, keys, *names)), F.lit(""))
+    journal = {"timestamp": get("__REALTIME_TIMESTAMP"), "hostname": get("_HOSTNAME"), "program": F.coalesce(*(some(at(values, keys, k)) for k in ("SYSLOG_IDENTIFIER", "_COMM", "UNIT", "_SYSTEMD_UNIT")), F.lit("")), "pid": F.coalesce(some(at(values, keys, "_PID")), some(at(values, keys, "SYSLOG_PID")), F.lit("")), "pri": get("PRIORITY"), "message": get("MESSAGE")}
+    out = F.when(fmt == "journald_json", F.array(*(journal.get(n, F.lit("")) for n in HEAD)))
+    for name, p in RECORDS.items():
+        of = first if name == "dmesg" else text
+        out = out.when(fmt == name, F.when(p.found(of), p.groups(of, HEAD)))
+    return out
 
 
-def _word_of(pri: Column) -> Column:
-    return F.get(F.array(*map(F.lit, SEVERITIES)), pri.try_cast("int").bitwiseAND(F.lit(7)))
+def _structured(rest: Sql) -> Sql:
+    """Leading structured data: up to the bracket that closes the first one, or all without such; '' if there is none."""
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
 
+    def step(a: Sql, c: Sql) -> Sql:
+        depth = a["depth"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        end = F.when((a["end"] == 0) & (c == "]") & (depth == 0), a["seen"] + 1).otherwise(a["end"])
+        return F.struct(depth.alias("depth"), (a["seen"] + 1).alias("seen"), end.alias("end"))
 
-def format_groups(text: Column, fmt: Column) -> Column:
-    """Groups of the pattern of the record's format."""
-    first = F.substring_index(text, "\n", 1)
-    return F.when(fmt == "rfc3164", RFC3164.groups(text)).when(fmt == "rfc5424", RFC5424.groups(text)).when(fmt == "auditd", AUDIT.groups(text)).when(fmt == "dmesg", DMESG.groups(first))
+    nested = F.aggregate(F.split(rest, ""), begin, step, lambda a: F.when(a["end"] > 0, F.substring(rest, F.lit(1), a["end"])).otherwise(rest))
+    flat = r"^\[[^\[\]]*\]"
+    return F.when(~rest.startswith("["), "").when(rest.rlike(flat), F.regexp_extract(rest, flat, 0)).otherwise(nested)
 
 
-def envelope(text: Column, fmt: Column, groups: Column, obj: Column) -> Column:
-    """The envelope struct of a record of the given format, from its groups or JSON object."""
-    dash = lambda c: F.nullif(c, F.lit("-"))
-    a = b = d = u = groups
-    g = lambda n: RFC3164.group(a, n)
-    syslog = _envelope(text, month=g("month"), day=g("day"), time=g("time"), hostname=g("host"), program=g("program"), pid=g("pid"), level=_word_of(g("pri")), message=F.rtrim(F.get(a, RFC3164.names.index("message"))), native=as_map({"pri": g("pri").try_cast("int")}))
-    h = lambda n: RFC5424.group(b, n)
-    rest = strip(F.coalesce(h("rest"), F.lit("")))
-    # Structured data runs to the bracket that closes the first one; brackets within are counted.
-    sd = F.when(rest.startswith("["), F.regexp_extract(rest, r"^(\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\])", 1)).otherwise("")
-    message = F.when(sd == "", rest).otherwise(strip(F.substring(rest, F.length(sd) + 1, F.length(rest))))
-    facility = F.shiftright(h("pri").try_cast("int"), 3)
-    modern = _envelope(text, timestamp=h("ts"), hostname=dash(h("host")), program=dash(h("program")), pid=dash(h("pid")), level=_word_of(h("pri")), message=message, native=as_map({"pri": h("pri").try_cast("int"), "facility": facility, "syslog_version": h("version"), "msgid": dash(h("msgid")), "structured_data": sd}))
-    body = strip(DMESG.group(d, "message"))
-    system = F.regexp_extract(body, r"^([\w.\-]+):\s+", 1)
-    kernel = _envelope(text, program=F.when(system == "", "kernel").otherwise(system), message=body, native=as_map({"uptime": DMESG.group(d, "uptime")}))
-    k = lambda n: AUDIT.group(u, n)
-    more = strip(F.coalesce(k("rest"), F.lit("")))
-    micro = F.round(k("epoch").try_cast("decimal(20,6)") * 1_000_000).cast("bigint")
-    values = F.transform(F.regexp_extract_all(more, F.lit(AUDIT_PAIR), F.lit(2)), lambda v: F.btrim(v, F.lit("\"'")))
-    noted = F.zip_with(F.regexp_extract_all(more, F.lit(AUDIT_PAIR), F.lit(1)), values, lambda x, y: F.struct(x.alias("k"), y.alias("v")))
-    own = pairs({"audit_type": k("type"), "audit_epoch": k("epoch"), "audit_serial": k("serial")})
-    audit = _envelope(text, program=F.lit("auditd"), timestamp=_utc_iso(micro), message=strip(F.concat_ws(" ", k("type"), more)), native=first_wins(F.concat(own, F.filter(noted, lambda e: ~e["v"].isin("", "-")))))
-    j = obj
-    get = lambda *names: F.coalesce(*(F.nullif(F.element_at(j, n), F.lit("")) for n in names))
-    journald = _envelope(text, timestamp=_utc_iso(get("__REALTIME_TIMESTAMP").try_cast("bigint")), hostname=get("_HOSTNAME"), program=get("SYSLOG_IDENTIFIER", "_COMM", "UNIT", "_SYSTEMD_UNIT"), pid=get("_PID", "SYSLOG_PID"), level=_word_of(get("PRIORITY")), message=get("MESSAGE"), native=F.map_filter(j, lambda n, v: (n != "MESSAGE") & v.isNotNull() & ~v.isin("", "-")))
-    return F.when(fmt == "rfc3164", syslog).when(fmt == "rfc5424", modern).when(fmt == "dmesg", kernel).when(fmt == "auditd", audit).when(fmt == "journald_json", journald)
-
-
-def _utc_iso(micros: Column) -> Column:
+def _utc_iso(micros: Sql) -> Sql:
     # Counted from a zone-free epoch, so the session's time zone does not matter.
     seconds = (micros.cast("decimal(24,0)") / 1_000_000).cast("decimal(18,6)")
-    at = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    moment = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     frac = F.pmod(micros, F.lit(1_000_000))
     part = F.when(frac == 0, "").otherwise(F.concat(F.lit("."), F.lpad(frac.cast("string"), 6, "0")))
-    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
 
 
-def rule_of(program: Column, message: Column) -> Column:
-    """Number of the first rule that fits."""
-    prog, msg = F.lower(F.coalesce(program, F.lit(""))), F.coalesce(message, F.lit(""))
+def rule_of(program: Sql, message: Sql) -> Sql:
+    """Number of the first rule that fits; a word test spares most messages a rule's pattern."""
     out = None
     for i, r in enumerate(RULES):
-        fits = F.lit(True) if r.pattern is None else msg.contains(r.pattern) if isinstance(r.pattern, str) else r.pattern.found(msg)
-        if r.programs:
-            fits = prog.isin(*r.programs) & fits
-        if i == PACKET_RULE:
-            fits = fits & msg.contains("SRC=") & msg.contains("DST=")
+        fits = program.isin(*r.programs) if r.programs else None
+        if r.words:
+            held = message.contains(r.words[0])
+            for w in r.words[1:]:
+                held = held | message.contains(w)
+            fits = held if fits is None else fits & held
+        if i == PACKET:
+            fits = fits & message.contains("DST=")
+        if r.pattern is not None:
+            fits = fits & r.pattern.found(message)
+        fits = F.lit(True) if fits is None else fits
         out = F.when(fits, i) if out is None else out.when(fits, i)
     return out
 
 
-def rule_groups(rule: Column, message: Column) -> Column:
-    """Groups of the pattern of the rule that fits."""
-    out = F.when(F.lit(False), F.array().cast("array<string>"))
+def _captured(rule: Sql, message: Sql) -> Sql:
+    """The CAPTURED values of the rule that fits."""
+    out = None
     for i, r in enumerate(RULES):
-        if r.fields:
-            out = out.when(rule == i, r.pattern.groups(message))
-    return out
+        if r.pattern is not None and any(n in CAPTURED for n in r.pattern.names):
+            out = F.when(rule == i, r.pattern.groups(message, CAPTURED)) if out is None else out.when(rule == i, r.pattern.groups(message, CAPTURED))
+    return out.otherwise(F.array(*(F.lit("") for _ in CAPTURED)))
 
 
-def rule_fields(rule: Column, groups: Column, message: Column) -> Column:
-    """Promoted (k, v) pairs of the rule that fits."""
-    out = F.when(F.lit(False), pairs({}))
-    for i, r in enumerate(RULES):
-        if not r.fields:
-            continue
-        made = {n: r.pattern.group(groups, n) for n in r.fields}
-        if "command" in made:
-            made["command"] = strip(made["command"])
-        if "auth_protocol" in made:
-            made["auth_protocol"] = F.upper(made["auth_protocol"])
-        if i == PACKET_RULE:
-            made["fw_action"] = fw_action(message)
-        out = out.when(rule == i, pairs(made))
-    return out.otherwise(pairs({}))
-
-
-def fw_action(message: Column) -> Column:
+def _fw_action(message: Sql) -> Sql:
     g = UFW.groups(message)
-    return F.when(UFW.found(message), F.coalesce(UFW.group(g, "a"), UFW.group(g, "b")))
-
-
-def with_parse(df: DataFrame, raw: str = "raw", open_if: Column | None = None) -> DataFrame:
-    """df with column _linux: the parse struct, null where the record is not for this family (or open_if is false)."""
-    # Each step is a column of its own, so what later steps share is worked out once.
-    may = F.lit(True) if open_if is None else open_if
-    out = df.withColumn("_lt", F.when(may, strip(F.col(raw))))
-    text, fmt = F.col("_lt"), F.col("_lf")
-    out = out.withColumn("_lj", F.when(text.startswith("{"), journal(text)))
-    out = out.withColumn("_lf", F.when(text.isNotNull(), apart(detect(text, F.map_keys("_lj"))))).withColumn("_lg", F.when(fmt.isNotNull(), apart(format_groups(text, fmt))))
-    out = out.withColumn("_le", F.when(fmt.isNotNull(), envelope(text, fmt, F.col("_lg"), F.col("_lj"))))
-    e = F.col("_le")
-    msg = F.coalesce(e["message"], F.lit(""))
-    foreign = word(text, "filterlog", "socketfilterfw") | ((F.lower(e["program"]) == "sshd") & msg.contains("SRC=") & msg.contains("DST="))
-    out = out.withColumn("_lr", F.when(fmt.isNotNull() & ~F.coalesce(foreign, F.lit(False)), apart(rule_of(e["program"], e["message"]))))
+    return F.when(UFW.found(message), F.concat(F.get(g, 0), F.get(g, 1))).otherwise("")
+
+
+def steps(out: Steps, text: str, open_: Sql) -> Parsed:
+    """Adds the family's columns (null where open_ is false or the record is another's; _lok where it is this family's).
+
+    text names the stripped record; _first its first line, _jk and _jv the keys and values of its JSON object.
+    """
+    t, first, fmt = F.col(text), F.col("_first"), F.col("_lf")
+    upper = F.transform("_jk", lambda k: F.upper(k))
+    out.withColumn("_lu", F.when(F.col("_jk").isNotNull(), upper))
+    out.withColumn("_lf", guarded(open_, detect(t, first, F.col("_lu"))))
+    out.withColumn("_lg", guarded(fmt.isNotNull(), _groups(t, first, fmt, F.col("_lu"), F.col("_jv"))))
+    e = lambda n: some(F.get("_lg", HEAD.index(n)))
+    dash = lambda c: F.nullif(c, F.lit("-"))
+    modern = fmt == "rfc5424"
+    rest = strip(F.get("_lg", HEAD.index("message")))
+    out.withColumn("_lm", guarded(fmt.isNotNull(), F.when(fmt.isin("rfc5424", "dmesg", "auditd"), rest).otherwise(F.get("_lg", HEAD.index("message")))))
+    out.withColumn("_ls", guarded(modern, _structured(F.col("_lm"))))
+    m = F.col("_lm")
+    system = F.regexp_extract(m, SUBSYSTEM, 1)
+    program = F.when(fmt == "dmesg", F.when(system == "", "kernel").otherwise(system)).when(fmt == "auditd", "auditd").when(modern, dash(e("program"))).otherwise(e("program"))
+    message = F.when(modern & (F.col("_ls") != ""), strip(F.substr(m, F.length("_ls") + 1))).when(fmt == "auditd", strip(F.concat_ws(" ", e("type"), m))).when(fmt == "journald_json", some(m)).otherwise(m)
+    out.withColumns({"_lp": guarded(fmt.isNotNull(), program), "_lmsg": guarded(F.col("_lg").isNotNull(), message)})
+    out.withColumn("_lq", F.lower(F.coalesce("_lp", F.lit(""))))
+    msg, low = F.coalesce("_lmsg", F.lit("")), F.lower(t)
+    foreign = low.contains("filterlog") | low.contains("socketfilterfw") | ((F.col("_lq") == "sshd") & msg.contains("SRC=") & msg.contains("DST="))
+    out.withColumn("_lr", guarded(F.col("_lg").isNotNull() & ~foreign, rule_of(F.col("_lq"), msg)))
     rule = F.col("_lr")
-    stamp = e["month"].isNotNull() & e["day"].isNotNull() & e["time"].isNotNull()
-    base = pairs({"month": F.when(stamp, e["month"]), "day": F.when(stamp, e["day"]), "time": F.when(stamp, e["time"]), "timestamp": F.when(~stamp, e["timestamp"]), "level": e["level"], "hostname": e["hostname"], "program": e["program"], "pid": e["pid"], "message": e["message"]})
-    promoted = out.withColumn("_lh", F.when(rule.isNotNull(), apart(rule_groups(rule, msg)))).withColumn("_lp", F.when(rule.isNotNull(), rule_fields(rule, F.col("_lh"), msg)))
-    fields = F.map_from_entries(F.concat(base, F.col("_lp")))
-    mapping = F.when(rule == 0, literal_map(BASE | RULES[0].mapping))
-    for i, r in enumerate(RULES[1:], 1):
-        mapping = mapping.when(rule == i, literal_map(BASE | r.mapping))
-    blocked = (rule == PACKET_RULE) & F.coalesce(fw_action(msg).isin(*BLOCKING), F.lit(False))
-    replaced = F.when(rule.isin(*[i for i, r in enumerate(RULES) if r.replaces]), F.array(F.lit("program"))).otherwise(F.array().cast("array<string>"))
-    block = pairs({"format": F.col("_lf"), "hostname": e["hostname"], "program": e["program"], "pid": e["pid"], "level": e["level"], "timestamp": e["timestamp"], "message": e["message"]})
-    native = F.map_concat(F.map_from_entries(block), F.map_from_entries(F.transform(F.map_entries(e["native"]), lambda x: F.struct(F.concat(F.lit("native."), x["key"]).alias("k"), x["value"].alias("v")))))
-    ids = F.create_map(*(F.lit(x) for kv in PARSER_IDS.items() for x in kv))
-    made = parsed(
-        family="linux", format=F.col("_lf"), parser_id=F.element_at(ids, F.col("_lf")), source_name=by_number(rule, [r.source for r in RULES], "string"), os_family="Linux",
-        category=by_number(rule, [r.category for r in RULES], "string"), class_uid=by_number(rule, [r.class_uid for r in RULES], "int"),
-        activity_id=by_number(rule, [r.activity[0] for r in RULES], "int"), activity_name=by_number(rule, [r.activity[1] for r in RULES], "string"),
-        severity_id=F.when(blocked, 3).otherwise(by_number(rule, [r.severity for r in RULES], "int")),
-        status=F.when(blocked, "Failure").otherwise(by_number(rule, [r.status and r.status[0] for r in RULES], "string")), status_id=F.when(blocked, 2).otherwise(by_number(rule, [r.status and r.status[1] for r in RULES], "int")),
-        f=fields, m=mapping, replaced=replaced, native=native, core=present(F.coalesce(e["timestamp"], F.when(stamp, e["time"])), e["hostname"], e["program"], e["pid"], e["level"], e["message"]),
+    out.withColumn("_lok", rule.isNotNull())
+    out.withColumns({"_lc": guarded(F.col("_lok"), _captured(rule, msg)), "_la": guarded(rule == PACKET, _fw_action(msg))})
+    c = lambda n: F.get("_lc", CAPTURED.index(n))
+    lower = F.lower(msg)
+    noted = (lower.contains("denied") & lower.contains("apparmor")) | lower.contains("i/o error") | lower.contains("blk_update_request")
+    outcome = F.when(rule == PACKET, F.col("_la")).when(rule == len(RULES) - 1, F.when(noted, "denied")).otherwise(c("outcome"))
+    turns = F.when(F.lit(False), F.lit(False))
+    for i, r in enumerate(RULES):
+        if r.turns:
+            turns = turns.when(rule == i, outcome.isin(*r.turns))
+    out.withColumn("_ln", guarded(F.col("_lok"), rule * 2 + F.when(F.coalesce(turns, F.lit(False)), 1).otherwise(0)))
+    return _parsed(e, c, fmt, dash)
+
+
+def _parsed(e, c, fmt: Sql, dash) -> Parsed:
+    verdicts = [x for r in RULES for x in (r.says, r.otherwise or r.says)]
+    of = lambda values, kind="string": by_number(F.col("_ln"), values, kind)
+    rule = lambda name, kind="string": by_number(F.col("_lr"), [getattr(r, name) for r in RULES], kind)
+    pri = e("pri").try_cast("int")
+    level = F.get(F.array(*map(F.lit, SEVERITIES)), pri.bitwiseAND(F.lit(7)))
+    stamp = F.when(fmt == "rfc5424", e("timestamp")).when(fmt == "auditd", _utc_iso(F.round(e("epoch").try_cast("decimal(20,6)") * 1_000_000).cast("bigint"))).when(fmt == "journald_json", _utc_iso(e("timestamp").try_cast("bigint")))
+    dated = e("month").isNotNull()
+    host, pid = dash(e("hostname")), F.when(fmt == "rfc5424", dash(e("pid"))).otherwise(e("pid"))
+    program, message = F.col("_lp"), F.col("_lmsg")
+    command, protocol = strip(c("command")), F.upper(c("auth_protocol"))
+    field = lambda n: command if n == "command" else protocol if n == "auth_protocol" else c(n)
+    values = {path: some(field(n)) for n, path in MAPPED.items()} | {
+        "device.hostname": host, "actor.process.name": F.coalesce(some(c("process")), program), "actor.process.pid": pid,
+        "month": e("month"), "day": e("day"), "time": e("time"), "timestamp": F.when(~dated, stamp), "level": level, "text": message,
+    }
+    n_mapped = how_many(host, program, pid, c("process"), *map(field, MAPPED))
+    kept = {"auth_method": c("auth_method"), "fw_action": F.col("_la")}
+    n_fields = F.when(dated, 3).when(stamp.isNotNull(), 1).otherwise(0) + F.when(level.isNotNull(), 1).otherwise(0) + F.when(message.isNotNull(), 1).otherwise(0) + n_mapped + how_many(*kept.values())
+    core = F.when(dated | stamp.isNotNull(), 1).otherwise(0) + how_many(host, program, pid, level, message)
+    block = {"format": fmt, "facility": F.when(fmt.isin("rfc3164", "rfc5424"), F.shiftright(pri, 3)), "hostname": host, "program": program, "pid": pid, "level": level, "timestamp": stamp, "message": message}
+    return Parsed(
+        {
+            "format": fmt, "parser_id": lookup(PARSER_IDS, fmt), "source_name": rule("source"), "product": rule("source"), "os_family": "Linux", "category": rule("category"), "class_uid": rule("class_uid", "int"),
+            "activity_id": of([v.activity[0] for v in verdicts], "int"), "activity_name": of([v.activity[1] for v in verdicts]), "severity_id": of([v.severity for v in verdicts], "int"),
+            "status": of([v.status and v.status[0] for v in verdicts]), "status_id": of([v.status and v.status[1] for v in verdicts], "int"),
+            "unmapped": as_map(kept), "n_mapped": n_mapped, "n_fields": n_fields, "core": core, "native": F.map_from_entries(F.concat(pairs(block), _native(e, fmt, pri, dash))),
+        },
+        values,
     )
-    return promoted.withColumn("_linux", F.when(rule.isNotNull(), made).cast(TYPE)).drop("_lt", "_lj", "_lf", "_lg", "_le", "_lr", "_lh", "_lp")
+
+
+def _native(e, fmt: Sql, pri: Sql, dash) -> Sql:
+    """(native.<key>, value) of all that the format holds beside the envelope."""
+    syslog = {"pri": pri, "facility": F.shiftright(pri, 3)}
+    modern = syslog | {"syslog_version": e("version"), "msgid": dash(e("msgid")), "structured_data": F.col("_ls")}
+    values = F.transform(F.regexp_extract_all("_lm", F.lit(AUDIT_PAIR), F.lit(2)), lambda v: F.btrim(v, F.lit("\"'")))
+    noted = F.filter(rows(F.regexp_extract_all("_lm", F.lit(AUDIT_PAIR), F.lit(1)), values), lambda x: ~x["v"].isin("", "-"))
+    audit = first_wins(F.concat(pairs({"audit_type": e("type"), "audit_epoch": e("epoch"), "audit_serial": e("serial")}), noted))
+    journal = F.filter(rows(F.col("_jk"), F.col("_jv")), lambda x: (F.upper(x["k"]) != "MESSAGE") & x["v"].isNotNull() & ~x["v"].isin("", "-"))
+    found = F.when(fmt == "rfc3164", pairs(syslog)).when(fmt == "rfc5424", pairs(modern)).when(fmt == "dmesg", pairs({"uptime": e("uptime")}))
+    found = found.when(fmt == "auditd", F.map_entries(audit.cast(MAP)).cast("array<struct<k:string,v:string>>")).otherwise(journal)
+    return F.transform(found, lambda x: F.struct(F.concat(F.lit("native."), x["k"]).alias("k"), x["v"].alias("v")))

@@ -11,13 +11,17 @@ import json
 import os
 import re
 import uuid
+from re import _constants, _parser
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.columns import Pattern, apart, by_number, literal_map, pairs
+from ..functions import sqltext as F
+from ..functions.columns import PAIRS, Pattern, Steps, as_map, by_number, first_wins, guarded, let, literal_map, pairs, some
+from ..functions.ocsf import CONSUMED
 from ..functions.parser_specs import FIELDS, SPECS
-from .parsed import TYPE, parsed
+from ..functions.sqltext import Sql
+from .parsed import ALIASES, PATHS, Parsed
+from .parsed import FIELDS as READ
 
 LEAST_SCORE = 0.5
 CBS = {
@@ -30,6 +34,18 @@ CBS = {
 }
 
 
+def held(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds ('' without any)."""
+    runs, now = [], []
+    for kind, what in _parser.parse(pattern, re.MULTILINE):
+        if kind is _constants.LITERAL:
+            now.append(chr(what))
+        else:
+            runs.append("".join(now))
+            now = []
+    return max([*runs, "".join(now)], key=len)
+
+
 class Registry:
     def __init__(self, specs: list[dict] | None = None):
         self.specs = list(SPECS if specs is None else specs)
@@ -82,61 +98,123 @@ class Registry:
         rows = [(s["parser_id"], s["source_name"], s["os_family"], s["category"], int(s["class_uid"]), float(s["weight"])) for s in self.specs]
         return spark.createDataFrame(rows, "parser_id string, source_name string, os_family string, category string, class_uid int, weight double")
 
-    def score(self, spec: dict, raw: Column) -> Column:
-        """Share of identifiers met: substrings 0.4, signature 0.5, processes up to 0.1."""
-        some = lambda words: sum((raw.contains(w).cast("int") for w in words), F.lit(0))
-        total = F.lit(0.0)
-        if spec["substrings"]:
-            total = total + F.lit(0.4) * (some(spec["substrings"]) / F.lit(len(spec["substrings"])))
-        if spec["signature"]:
-            total = total + F.when(Pattern(spec["signature"], "md").found(raw), 0.5).otherwise(0.0)
-        if spec["processes"]:
-            total = total + F.lit(0.1) * F.least(some(spec["processes"]) / F.lit(max(len(spec["processes"]) * 0.3, 1.0)), F.lit(1.0))
-        return F.bround(F.least(total, F.lit(1.0)), 4)
-
-    def ranked(self, raw: Column) -> Column:
+    @staticmethod
+    def _scores(spec: dict) -> list[int]:
+        """Ten-thousandths of the score for each number of substrings met, signature or not, and number of processes met."""
+        words, known = spec["substrings"], spec["processes"]
+        share = lambda m: 0.4 * (m / len(words)) if words else 0.0
+        seen = lambda p: 0.1 * min(p / max(len(known) * 0.3, 1), 1.0) if p else 0.0
+        return [round(10_000 * round(min(share(m) + (0.5 if sig else 0.0) + seen(p), 1.0), 4)) for m in range(len(words) + 1) for sig in (0, 1) for p in range(len(known) + 1)]
+
+    @staticmethod
+    def _signed(signature: str, raw: Sql) -> Sql:
+        """1 where the signature is found; a part that every match holds is looked for first."""
+        found = Pattern(signature, "md").found(raw)
+        part = held(signature)
+        return F.when(raw.contains(part) & found if part else found, 1).otherwise(0)
+
+    def _keys(self, raw: Sql, whole: bool = True) -> Sql:
+        """A number for each parser that orders them: by score, then weight, then place.
+
+        Without ``whole``, processes count only where a substring or the signature is met; no other parser can win.
+        """
+        met = lambda words: sum((raw.contains(w).cast("int") for w in words), F.lit(0))
+        ranks = {w: i for i, w in enumerate(sorted({float(s["weight"]) for s in self.specs}))}
+        out = []
+        for i, s in enumerate(self.specs):
+            sig = self._signed(s["signature"], raw) if s["signature"] else F.lit(0)
+            width = len(s["processes"]) + 1
+            numbers = F.array(*(F.lit(n * 100_000_000 + ranks[float(s["weight"])] * 10_000 + 9_999 - i).cast("bigint") for n in self._scores(s)))
+            cell = (met(s["substrings"]) * 2 + sig) * width
+            if width == 1:
+                out.append(F.get(numbers, cell))
+            elif whole:
+                out.append(F.get(numbers, cell + met(s["processes"])))
+            else:
+                out.append(let(cell, lambda c, n=numbers, s=s: F.get(n, F.when(c == 0, 0).otherwise(c + met(s["processes"])))))
+        return F.array(*out).cast("array<bigint>")
+
+    @staticmethod
+    def _score(key: Sql) -> Sql:
+        return F.floor(key / 100_000_000) / F.lit(10_000.0)
+
+    @staticmethod
+    def _place(key: Sql) -> Sql:
+        return (F.lit(9_999) - F.pmod(key, F.lit(10_000))).cast("int")
+
+    def _listed(self, keys: Sql) -> Sql:
+        ids = [s["parser_id"] for s in self.specs]
+        return F.transform(F.sort_array(keys, asc=False), lambda e: F.struct(by_number(self._place(e), ids).alias("parser_id"), self._score(e).alias("score")))
+
+    def ranked(self, raw: Sql) -> Sql:
         """All parsers by score, then weight, then id order."""
-        every = [F.struct((-self.score(s, raw)).alias("s"), F.lit(-float(s["weight"])).alias("w"), F.lit(i).alias("i"), F.lit(s["parser_id"]).alias("id")) for i, s in enumerate(self.specs)]
-        return F.transform(F.array_sort(F.array(*every)), lambda e: F.struct(e["id"].alias("parser_id"), (-e["s"]).alias("score")))
-
-    def with_parse(self, df: DataFrame, raw: str = "raw", open_if: Column | None = None) -> DataFrame:
-        """df with _candidates (ranked) and _registry: the winner's parse struct, null if none scores enough or its pattern fails."""
-        text = F.col(raw)
-        may = F.lit(True) if open_if is None else open_if
-        out = df.withColumn("_candidates", F.when(may, self.ranked(text)))
-        best = F.get(F.col("_candidates"), 0)
-        ids = F.array(*(F.lit(s["parser_id"]) for s in self.specs)).cast("array<string>")
-        out = out.withColumn("_win", F.when(best["score"] >= LEAST_SCORE, F.array_position(ids, best["parser_id"]).cast("int") - 1))
-        win, conf = F.col("_win"), best["score"]
-        none = F.when(F.lit(False), F.array().cast("array<string>"))
-        groups, fields, maps, statics = none, F.when(F.lit(False), pairs({})), F.when(F.lit(False), literal_map({})), F.when(F.lit(False), literal_map({}))
-        levels, states, internal = [], [], none
+        return self._listed(self._keys(raw))
+
+    def best(self, raw: Sql) -> Sql:
+        """The best score of all parsers."""
+        return self._score(F.array_max(self._keys(raw)))
+
+    def steps(self, out: Steps, text: str, open_: Sql) -> Parsed:
+        """Adds the registry's columns (null where open_ is false; _rok where the best parser scores enough and its pattern fits)."""
+        raw = F.col(text)
+        out.withColumn("_rs", guarded(open_, self._keys(raw, whole=False)))
+        best = F.array_max("_rs")
+        out.withColumns({"_rc": self._score(best), "_rb": self._place(best)})
+        out.withColumn("_rw", F.when(F.col("_rc") >= LEAST_SCORE, F.col("_rb")))
+        win = F.col("_rw")
+        groups = F.when(F.lit(False), F.array().cast("array<string>"))
         for i, s in enumerate(self.specs):
             p = Pattern(s["pattern"], "msd")
-            groups = groups.when(win == i, F.when(p.found(text), p.groups(text)))
-            fields = fields.when(win == i, pairs({n: p.group(F.col("_rg"), n) for n in p.names if n}))
-            # Targets and sources that start with an underscore stay internal.
-            hidden = [src for src, path in s["mapping"].items() if src.startswith("_") or path.startswith("_")]
-            maps = maps.when(win == i, literal_map({path: src for src, path in s["mapping"].items() if src not in hidden}))
-            static = {k: str(v) for k, v in (s["static"] or {}).items() if not k.startswith("_")}
-            levels.append(static.pop("severity_id", None))
-            static.pop("severity", None)
-            states.append((static.pop("status", None), static.pop("status_id", None)))
-            if static:
-                statics = statics.when(win == i, literal_map(static))
-            if hidden:
-                internal = internal.when(win == i, F.array(*map(F.lit, hidden)))
-        out = out.withColumn("_rg", apart(groups))
+            groups = groups.when(win == i, F.when(p.found(raw), p.groups(raw)))
+        out.withColumn("_rg", guarded(win.isNotNull(), groups)).withColumn("_rok", F.col("_rg").isNotNull())
+        return self._parsed(raw, win)
+
+    def _parsed(self, raw: Sql, win: Sql) -> Parsed:
+        # What each parser's groups are for: an event path, a consumed field, or neither.
+        paths: list[dict[str, int]] = []
+        fields: list[dict[str, int]] = []
+        left: list[list[tuple[str, int]]] = []
+        mapped: list[list[int]] = []
+        statics: list[dict[str, str]] = []
+        for s in self.specs:
+            at = {n: i for i, n in enumerate(Pattern(s["pattern"]).names) if n}
+            # Sources and targets that start with an underscore stay internal.
+            shown = {src: path for src, path in s["mapping"].items() if src in at and not src.startswith("_") and not path.startswith("_")}
+            paths.append({path: at[src] for src, path in shown.items() if path in PATHS})
+            mapped.append([at[src] for src in shown])
+            fields.append({n: at[a] for n in READ for a in reversed(ALIASES[n]) if a in at})
+            # What is mapped to a path that the event has not is kept under that path.
+            left.append([(n, i) for n, i in at.items() if n not in s["mapping"] and n not in CONSUMED] + [(path, at[src]) for src, path in shown.items() if path not in PATHS])
+            statics.append({k: str(v) for k, v in (s["static"] or {}).items() if not k.startswith("_")})
+        group = lambda places: some(F.get("_rg", by_number(win, places, "int")))
+        fixed = lambda name: by_number(win, [x.get(name) for x in statics])
+        values: dict[str, Sql] = {}
+        for path in PATHS:
+            found = [x for x in (group([p.get(path) for p in paths]) if any(path in p for p in paths) else None, fixed(path) if path != "status" and any(path in x for x in statics) else None) if x is not None]
+            if found:
+                values[path] = F.coalesce(*found)
+        for n in READ:
+            if any(n in f for f in fields):
+                values[n] = group([f.get(n) for f in fields])
         of = lambda key, kind="string": by_number(win, [s[key] for s in self.specs], kind)
-        native = F.when(best["parser_id"] == "WIN-CBS-001", F.map_from_entries(self._cbs(text))).otherwise(literal_map({}))
-        made = parsed(
-            family="ngre", format="registry", parser_id=best["parser_id"], source_name=of("source_name"), os_family=of("os_family"), category=of("category"), class_uid=of("class_uid", "int"),
-            activity_id=of("activity_id", "int"), activity_name=of("activity_name"), severity_id=by_number(win, levels, "int"), status=by_number(win, [x for x, _ in states]), status_id=by_number(win, [x for _, x in states], "int"),
-            f=F.map_from_entries(fields), m=maps, static=statics.otherwise(literal_map({})), native=native, confidence=conf, candidates=F.col("_candidates"), replaced=internal.otherwise(F.array().cast("array<string>")),
+        lists = lambda items: F.get(F.split(F.lit("\x02".join("\x03".join(map(str, x)) for x in items)), "\x02"), win)
+        places = lambda items: F.filter(F.split(lists(items), "\x03"), lambda x: x != "")
+        value = lambda g, i: F.coalesce(F.get(g, i.cast("int")), F.lit(""))
+        names, spots = places([[n for n, _ in x] for x in left]), places([[i for _, i in x] for x in left])
+        rest = let(F.col("_rg"), lambda g: F.zip_with(names, spots, lambda n, i: F.struct(n.alias("k"), value(g, i).alias("v")))).cast(PAIRS)
+        n_mapped = let(F.col("_rg"), lambda g: F.size(F.filter(places(mapped), lambda i: value(g, i) != "")))
+        ids = [s["parser_id"] for s in self.specs]
+        cbs = ids.index("WIN-CBS-001") if "WIN-CBS-001" in ids else -1
+        return Parsed(
+            {
+                "format": "registry", "parser_id": by_number(win, ids), "source_name": of("source_name"), "product": of("source_name"), "os_family": of("os_family"), "category": of("category"), "class_uid": of("class_uid", "int"),
+                "activity_id": of("activity_id", "int"), "activity_name": of("activity_name"), "severity_id": fixed("severity_id").cast("int"), "status": fixed("status"), "status_id": fixed("status_id").cast("int"),
+                "unmapped": first_wins(F.filter(rest, lambda e: e["v"] != "")), "n_mapped": n_mapped, "native": F.when(win == cbs, as_map(self._cbs(raw))).otherwise(literal_map({})), "confidence": F.col("_rc"), "candidates": self.ranked(raw),
+            },
+            values,
         )
-        return out.withColumn("_registry", F.when(F.col("_rg").isNotNull(), made).cast(TYPE)).drop("_win", "_rg")
 
     @staticmethod
-    def _cbs(raw: Column) -> Column:
+    def _cbs(raw: Sql) -> dict[str, Sql]:
         component = F.when(raw.contains("CBS"), "CBS").when(raw.contains("CSI"), "CSI")
-        return pairs({k: F.nullif(F.regexp_extract(raw, p, g), F.lit("")) for k, (p, g) in CBS.items()} | {"component": component})
+        return {k: F.regexp_extract(raw, p, g) for k, (p, g) in CBS.items()} | {"component": component}

@@ -12,15 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import of
+
 WILD = "<*>"
 SIMILAR = 0.4
 
 
-def masked(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?d)[^\s]*\d[^\s]*", F.lit(WILD))
+def masked(text):
+    """The text with every token that holds a digit masked; a Column for a Column."""
+    f = of(text)
+    return f.regexp_replace(f.coalesce(text, f.lit("")), r"(?d)[^\s]*\d[^\s]*", WILD)
 
 
 def cluster(messages: list[list[str]]) -> list[int]:

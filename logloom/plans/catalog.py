@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import ocsf
+from ..functions import ocsf, sqltext
 from ..operators.registry import Registry
 from ..operators.templates import mine
 from ..session import spread, table
@@ -43,12 +44,12 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "events")).select("event_id", "ts", "user_id", F.expr(f"CASE event_id % {len(MIX)} {case} END").alias("raw"))
 
 
-def events_of(rows: DataFrame) -> DataFrame:
-    return normalize(rows, reference_now=NOW, reference_year=YEAR)
+def events_of(rows: DataFrame, *columns: str) -> DataFrame:
+    return normalize(rows, reference_now=NOW, reference_year=YEAR, columns=columns or None)
 
 
-def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_of(mixed(spark, sf_dir))
+def mixed_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return events_of(mixed(spark, sf_dir), *columns)
 
 
 def mix_sql(column: str, other: str = "NULL") -> str:
@@ -61,7 +62,8 @@ def _format_query(name: str) -> None:
     _, columns = FORMATS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = events_of(rendered(spark, sf_dir, name))
+        tops = dict.fromkeys(re.sub(r"^\w+\(", "", path).split("[")[0].split(".")[0].rstrip(")") for path, _ in columns.values())
+        out = events_of(rendered(spark, sf_dir, name), *tops)
         return out.select("event_id", *(F.expr(path).cast("string").alias(c) for c, (path, _) in columns.items()))
 
     query(f"{name}_normalize", "SELECT event_id, " + ", ".join(f"CAST({sql} AS VARCHAR) AS {c}" for c, (_, sql) in columns.items()) + " FROM events")(run)
@@ -75,12 +77,12 @@ _BAD = "event_type IN ('error', 'signup')"
 
 @query("linux_ssh_status_mix", f"SELECT 3002 AS class_uid, CASE WHEN {_BAD} THEN 'Failure' ELSE 'Success' END AS status, count(*) AS cnt FROM events GROUP BY 1, 2")
 def linux_ssh_status_mix(spark, sf_dir):
-    return events_of(rendered(spark, sf_dir, "linux_ssh")).groupBy("class_uid", "status").agg(F.count(F.lit(1)).alias("cnt"))
+    return events_of(rendered(spark, sf_dir, "linux_ssh"), "class_uid", "status").groupBy("class_uid", "status").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("stats_by_parser", f"SELECT {mix_sql('parser_id')} AS parser_id, count(*) AS cnt FROM events GROUP BY 1")
 def stats_by_parser(spark, sf_dir):
-    return store.counts(mixed_events(spark, sf_dir), "parser_id", "parser_id")
+    return store.counts(mixed_events(spark, sf_dir, "parser_id"), "parser_id", "parser_id")
 
 
 _UID = f"CAST({mix_sql('class_uid', "'1001'")} AS INT)"
@@ -88,7 +90,7 @@ _UID = f"CAST({mix_sql('class_uid', "'1001'")} AS INT)"
 
 @query("stats_by_class", f"SELECT {_UID} AS class_uid, count(*) AS cnt FROM events GROUP BY 1")
 def stats_by_class(spark, sf_dir):
-    return store.counts(mixed_events(spark, sf_dir), "class_uid", "class_uid")
+    return store.counts(mixed_events(spark, sf_dir, "class_uid"), "class_uid", "class_uid")
 
 
 @query("stats_by_day", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS cnt FROM events GROUP BY 1 ORDER BY day DESC LIMIT 14")
@@ -104,7 +106,7 @@ def stats_by_source(spark, sf_dir):
 
 @query("stats_totals", f"SELECT count(*) AS total, count(*) FILTER (WHERE NOT coalesce({_UID} IN (1007, 3002, 3005, 4001, 4002, 6003), false)) AS needs_review FROM events")
 def stats_totals(spark, sf_dir):
-    return mixed_events(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if("needs_review").alias("needs_review"))
+    return mixed_events(spark, sf_dir, "needs_review").agg(F.count(F.lit(1)).alias("total"), F.count_if("needs_review").alias("needs_review"))
 
 
 _BUCKET = f"(SELECT {mix_sql('parser_id')} AS p FROM events)"
@@ -113,14 +115,14 @@ _BUCKETS = "CASE WHEN lower(p) LIKE '%drain3%' THEN 'drain3' WHEN lower(p) = 'dl
 
 @query("coverage_buckets", f"SELECT {_BUCKETS} AS bucket, count(*) AS cnt, CAST(floor(1000.0 * count(*) / sum(count(*)) OVER () + 0.0000001) AS BIGINT) AS tenths FROM {_BUCKET} GROUP BY 1")
 def coverage_buckets(spark, sf_dir):
-    out = store.coverage(mixed_events(spark, sf_dir))
+    out = store.coverage(mixed_events(spark, sf_dir, "parser_id"))
     total = F.sum("cnt").over(W.partitionBy(F.lit(1)))
     return out.select("bucket", "cnt", F.floor(F.lit(1000.0) * F.col("cnt") / total + F.lit(0.0000001)).cast("long").alias("tenths"))
 
 
 @query("coverage_by_parser", f"SELECT p AS parser_id, {_BUCKETS} AS family, count(*) AS cnt FROM {_BUCKET} GROUP BY 1, 2")
 def coverage_by_parser(spark, sf_dir):
-    out = store.coverage_by_parser(mixed_events(spark, sf_dir).withColumn("path", F.col("parse_path")))
+    out = store.coverage_by_parser(mixed_events(spark, sf_dir, "parser_id", "parse_path").withColumn("path", F.col("parse_path")))
     return out.select("parser_id", "family", "cnt")
 
 
@@ -134,7 +136,7 @@ def flat_events(spark, sf_dir):
 
 @query("analytics_top_users", "SELECT 'user' || user_id AS user_name, count(*) AS cnt FROM events GROUP BY 1 ORDER BY cnt DESC, user_name LIMIT 20")
 def analytics_top_users(spark, sf_dir):
-    out = events_of(rendered(spark, sf_dir, "linux_ssh")).select(F.col("actor.user.name").alias("user_name"))
+    out = events_of(rendered(spark, sf_dir, "linux_ssh"), "actor").select(F.col("actor.user.name").alias("user_name"))
     return store.counts(out.filter("user_name <> ''"), "user_name", "user_name", 20)
 
 
@@ -223,15 +225,14 @@ def hit_ratio(spark, sf_dir):
 
 @query("pipeline_counters", f"SELECT {mix_sql('parser_id')} AS parser_id, count(*) AS ingested, count(*) FILTER (WHERE {mix_sql('parser_id')} NOT IN ('DRAIN3-FALLBACK', 'DLQ')) AS parsed, count(*) FILTER (WHERE {mix_sql('parser_id')} = 'DRAIN3-FALLBACK') AS fallback, count(*) FILTER (WHERE {mix_sql('parser_id')} = 'DLQ') AS dlq FROM events GROUP BY 1")
 def pipeline_counters(spark, sf_dir):
-    out = search.counters(mixed_events(spark, sf_dir))
+    out = search.counters(mixed_events(spark, sf_dir, "parser_id", "source_name", "parse_path", "needs_review"))
     return out.groupBy("parser_id").agg(*[F.sum(c).alias(c) for c in ("ingested", "parsed", "fallback", "dlq")])
 
 
 @query("severity_map", "SELECT o_orderkey, CASE split_part(o_orderpriority, '-', 1) WHEN '1' THEN 'High' WHEN '2' THEN 'Medium' WHEN '3' THEN 'Critical' WHEN '4' THEN 'Unknown' ELSE 'Informational' END AS severity FROM orders")
 def severity_map(spark, sf_dir):
-    words = F.array(*map(F.lit, ("Error", " WARN ", "alert", "trace", "nonsense")))
-    level = F.get(words, F.substring("o_orderpriority", 1, 1).cast("int") - 1)
-    return table(spark, sf_dir, "orders").select("o_orderkey", ocsf.severity_name(ocsf.severity_id(level)).alias("severity"))
+    level = sqltext.expr("get(array('Error', ' WARN ', 'alert', 'trace', 'nonsense'), cast(substring(o_orderpriority, 1, 1) AS int) - 1)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", ocsf.severity_name(ocsf.severity_id(level)).column().alias("severity"))
 
 
 @query("timestamp_steps", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.120000+00:00' WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' ELSE '2024-06-01T00:00:00+00:00' END AS time FROM events")
@@ -239,7 +240,7 @@ def timestamp_steps(spark, sf_dir):
     f = {0: "map('datetime', date_format(ts, 'yyyy-MM-dd HH:mm:ss'))", 1: "map('date', date_format(ts, 'yyyy-MM-dd'), 'time', date_format(ts, 'HH:mm:ss'))", 2: "map('month', date_format(ts, 'MM'), 'day', date_format(ts, 'dd'), 'time', concat(date_format(ts, 'HH:mm:ss'), '.12'))", 3: "map('timestamp', concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '+0200'))", 4: "map('timestamp', 'soon')"}
     case = "CASE event_id % 5 " + " ".join(f"WHEN {k} THEN {v}" for k, v in f.items()) + " END"
     e = table(spark, sf_dir, "events").select("event_id", F.expr(case).alias("f"))
-    return e.select("event_id", ocsf.event_time(F.col("f"), NOW, YEAR)[0].alias("time"))
+    return ocsf.event_time(e, "f", NOW, YEAR).select("event_id", "time")
 
 
 @query("ip_observables", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '10.0.' || user_id % 250 || '.9' WHEN 1 THEN '' WHEN 2 THEN '' ELSE '1.2.3.4,9.9.9.' || user_id % 250 END AS ips FROM events")
@@ -250,17 +251,17 @@ def ip_observables(spark, sf_dir):
 
 @query("confidence_breakdown", "SELECT event_id, CAST(1 AS DOUBLE) AS format, CAST(0.93 AS DOUBLE) AS pattern, CAST(1 AS DOUBLE) AS source, CAST(1 AS DOUBLE) AS parser, CAST(1 AS DOUBLE) AS semantic, CAST(1 AS DOUBLE) AS ocsf FROM events")
 def confidence_breakdown(spark, sf_dir):
-    return events_of(rendered(spark, sf_dir, "linux_ssh")).select("event_id", *[F.col(f"confidence_breakdown.{k}").alias(k) for k in ("format", "pattern", "source", "parser", "semantic", "ocsf")])
+    return events_of(rendered(spark, sf_dir, "linux_ssh"), "confidence_breakdown").select("event_id", *[F.col(f"confidence_breakdown.{k}").alias(k) for k in ("format", "pattern", "source", "parser", "semantic", "ocsf")])
 
 
 @query("provenance_status", f"SELECT CASE WHEN {mix_sql('parser_id')} = 'DRAIN3-FALLBACK' THEN 'fallback' WHEN {mix_sql('parser_id')} = 'DLQ' THEN 'failed' WHEN {_UID} IN (1007, 3002, 3005, 4001, 4002, 6003) THEN 'parsed' ELSE 'partially_parsed' END AS parse_status, count(*) AS cnt FROM events GROUP BY 1")
 def provenance_status(spark, sf_dir):
-    return mixed_events(spark, sf_dir).groupBy("parse_status").agg(F.count(F.lit(1)).alias("cnt"))
+    return mixed_events(spark, sf_dir, "parse_status").groupBy("parse_status").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("fingerprint_scores", "SELECT event_id, 'FW-W3C-001' AS parser_id, CAST(1 AS DOUBLE) AS score FROM events")
 def fingerprint_scores(spark, sf_dir):
-    best = F.get(Registry().ranked(F.col("raw")), 0)
+    best = F.get(Registry().ranked(sqltext.col("raw")).column(), 0)
     return rendered(spark, sf_dir, "registry_filterlog").select("event_id", best["parser_id"].alias("parser_id"), best["score"].alias("score"))
 
 
