@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 FOLDS = 5
 
 _OWN: dict[str, str] = {}
+#: Paths of written intermediates that nobody has removed yet, by application.
+_LEFT: dict[str, set[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,26 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _LEFT.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def sweep(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete this application's written intermediates, but those in keep.
+
+    A query's intermediates are read until its result is written, so only the caller knows when they may go.
+    """
+    for path in sorted(_LEFT.get(spark.sparkContext.applicationId, set()) - set(keep)):
+        remove(spark, path)
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs with each row in one struct column, r, beside further columns: its names then clash with no others."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), *(c.alias(k) for k, c in more.items()))
+
+
+def unpacked(docs: DataFrame, *but: str) -> list[Column]:
+    """The columns of packed rows, in order, but the named ones."""
+    return [F.col(f"r.`{f.name}`").alias(f.name) for f in docs.schema["r"].dataType.fields if f.name not in but]
 
 
 class Written:
@@ -56,6 +78,7 @@ class Written:
     def __init__(self, df: DataFrame, tag: str, **metrics: Column):
         self.spark = df.sparkSession
         self.path = scratch(self.spark, tag)
+        _LEFT.setdefault(self.spark.sparkContext.applicationId, set()).add(self.path)
         seen = Observation(f"{tag}-{uuid.uuid4().hex}")
         df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())).write.parquet(self.path)
         self.metrics = seen.get

@@ -1,7 +1,8 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 Learning: over all learnable documents, hashed character trigrams are counted
-by language (each task sums up a fixed-size table before anything is moved).
+by language: each task sums up what it meets, and hands on a language's sums when they
+hold ``HELD`` trigrams. Spark adds them up and finds each trigram's languages; only those come to the driver.
 A trigram belongs to a language where its relative frequency is at least
 ``SHARE`` of its highest over the languages. The languages' Bloom filters
 lie side by side: slot i holds one bit for each language, so ``HASHES`` lookups
@@ -11,8 +12,9 @@ Prediction: each language's popcount over a text's trigrams, less what its
 filter's false positive rate explains, decides; ties go to the language with
 more learned text, then by name. The score is the winner's share.
 
-Model size is fixed: ``CELLS`` counters a language while learning, ``SLOTS``
-masks (64 languages a slice) for the filter, whatever the corpus.
+Trigrams are 62-bit hashes, so hardly any two fall together. Model size is fixed
+but for the number of languages: ``SLOTS`` masks for each 64 of them. A language has at most
+1 / ``LEAST_RATE`` trigrams; the driver sets their bits as they come, without keeping them.
 
 Defined cases: null text or one without a letter is ``und`` with score 0; a
 text whose letters match nothing gets the most learned language with score 0;
@@ -22,18 +24,18 @@ not learned from; repeated rows count each time; other columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, table
+from .common import Written, held_out, learnable, table
 
 N = 3
-#: Trigram cells counted for each language.
-CELLS = 1 << 20
+#: Trigrams of a language that a task holds before it hands their sums on.
+HELD = 1 << 17
 SLOTS = 1 << 19
 HASHES = 3
 SHARE = 0.3
@@ -61,41 +63,65 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
             h = (p[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (p[2:] * np.uint64(0x165667B19E3779F9))
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
-            yield ((h >> np.uint64(32)) & np.uint64(CELLS - 1)).astype(np.int64)
+            h ^= h >> np.uint64(32)
+            yield (h >> np.uint64(2)).astype(np.int64)
+
+
+def _summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
+    """(lang, cell, n): sums over what a task has read since it last handed a language's on."""
+    held: dict[str, list[np.ndarray]] = {}
+    size: dict[str, int] = {}
+
+    def out(lang: str) -> pa.RecordBatch:
+        cells, n = _summed(held.pop(lang))
+        size.pop(lang)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells), pa.array(n)], ["lang", "cell", "n"])
+
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if (t := text.as_py()) is None:
                 continue
-            if lang not in sums:
-                sums[lang] = np.zeros(CELLS, np.int64)
             for cells in trigrams(t):
-                np.add.at(sums[lang], cells, 1)
-    for lang, s in sums.items():
-        cells = np.flatnonzero(s)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells), pa.array(s[cells])], ["lang", "cell", "n"])
+                held.setdefault(lang, []).append(cells)
+                size[lang] = size.get(lang, 0) + len(cells)
+                if size[lang] >= HELD or sum(size.values()) >= 8 * HELD:
+                    yield out(max(size, key=size.get))
+    for lang in list(held):
+        yield out(lang)
 
 
 def slots_of(cells: np.ndarray) -> np.ndarray:
-    """HASHES slots of each cell."""
-    h = cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return np.stack([((h >> np.uint64(7 + 13 * k)) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)])
+    """HASHES slots of each cell, from hashes of their own."""
+    out = []
+    for k in range(HASHES):
+        h = (cells.astype(np.uint64) + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(((h ^ (h >> np.uint64(31))) & np.uint64(SLOTS - 1)).astype(np.int64))
+    return np.stack(out)
 
 
 class Filter:
     """Bit-sliced Bloom filters of all languages, with each one's false positive rate."""
 
-    def __init__(self, langs: list[str], members: list[np.ndarray]):
+    def __init__(self, langs: list[str], members: Iterable[np.ndarray]):
         self.langs = langs
         self.masks = np.zeros((-(-len(langs) // 64) or 1, SLOTS), np.uint64)
-        self.false = np.zeros(len(langs))
         for i, cells in enumerate(members):
-            row, bit = self.masks[i // 64], np.uint64(1 << (i % 64))
-            row[slots_of(cells).ravel()] |= bit
-            self.false[i] = np.mean(row & bit != 0) ** HASHES
+            self.add(i, cells)
+        self.settle()
+
+    def add(self, lang: int, cells: np.ndarray) -> None:
+        self.masks[lang // 64][slots_of(cells).ravel()] |= np.uint64(1 << (lang % 64))
+
+    def settle(self) -> Filter:
+        """Note each language's false positive rate, once all members are in."""
+        self.false = np.array([np.mean(self.masks[i // 64] & np.uint64(1 << (i % 64)) != 0) ** HASHES for i in range(len(self.langs))])
+        return self
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not has_letter(text):
@@ -114,27 +140,30 @@ class Filter:
         return self.langs[best], float(min(1.0, share[best] / share.sum())) if share.sum() else 0.0
 
 
-def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> Filter:
-    """The filters of all languages of rows (null languages left out)."""
+def members(rows: DataFrame, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(lang, cell) of every language's own trigrams, and (lang, total) of all languages."""
     counted = rows.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counted = counted.mapInArrow(_counts, "lang string, cell long, n long").groupBy("cell", "lang").agg(F.sum("n").alias("n"))
-    total: dict[str, int] = {}
-    found: dict[str, tuple[list, list]] = {}
-    for r in counted.select("lang", "cell", "n").toLocalIterator(prefetchPartitions=True):
-        cells, counts = found.setdefault(r["lang"], ([], []))
-        cells.append(r["cell"])
-        counts.append(r["n"])
-        total[r["lang"]] = total.get(r["lang"], 0) + r["n"]
-    langs = sorted(found, key=lambda x: (-total[x], x))
-    best = np.zeros(CELLS)
-    for x in langs:
-        c = np.array(found[x][0])
-        best[c] = np.maximum(best[c], np.array(found[x][1]) / total[x])
-    members = []
-    for x in langs:
-        c, rate = np.array(found[x][0]), np.array(found[x][1]) / total[x]
-        members.append(c[(rate >= SHARE * best[c]) & (rate >= LEAST_RATE)])
-    return Filter(langs, members)
+    counted = Written(counted, "trigrams").df
+    totals = Written(counted.groupBy("lang").agg(F.sum("n").alias("total")), "languages").df
+    rated = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    # A trigram's languages meet in one group: as many rows as languages have it.
+    best = rated.groupBy("cell").agg(F.max("rate").alias("best"))
+    own = rated.join(best, "cell").filter((F.col("rate") >= SHARE * F.col("best")) & (F.col("rate") >= LEAST_RATE))
+    return own.select("lang", "cell"), totals
+
+
+def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> Filter:
+    """The filters of all languages of rows (null languages left out)."""
+    own, totals = members(rows, lang, text)
+    langs = [r["lang"] for r in totals.orderBy(F.desc("total"), "lang").collect()]
+    number = {x: i for i, x in enumerate(langs)}
+    model = Filter(langs, [])
+    # A row a language and slice of its trigrams; bits are set as the rows come.
+    parts = own.groupBy("lang", F.pmod("cell", F.lit(64)).alias("part")).agg(F.collect_list("cell").alias("cells"))
+    for r in parts.select("lang", "cells").toLocalIterator():
+        model.add(number[r["lang"]], np.array(r["cells"], np.int64))
+    return model.settle()
 
 
 def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:

@@ -10,14 +10,18 @@ in order of limit / weight, the common level is the greatest of
 
 Each leaf takes its documents in seeded order, one epoch after another with a
 new order each, up to its budget: whole epochs, then a token-prefix of the
-last. Prefix sums do not gather a leaf in one task: order keys fall in ``BUCKETS``
-buckets that are summed up first, and only the bucket in which a leaf's budget ends is
-put in order. Leaf tables are joined as Spark sees fit by their size.
+last. Prefix sums do not gather a leaf in one task: order keys fall in 256
+buckets by their first two hexadecimal digits, which are summed up first; the bucket in
+which a leaf's budget ends is cut again by the next two digits until it holds ``ENOUGH``
+documents at most, and only there the place is found where the budget ends. All
+that happens on ids and token numbers; documents are then read once and each row
+compared with its leaf's end. Leaf tables are joined as Spark sees fit by their size.
 
 Defined cases: null text has no tokens; null languages and sources are leaves
 of their own (empty names); repeated rows are documents of their own; ties in the
 order key go by doc_id and tokens; weights not listed are ``DEFAULT``; an
-empty table or budget gives an empty result; other columns are carried along.
+empty table or budget gives an empty result; other columns are carried along, whatever
+their names (domain, epoch and tokens give way); rows of one id and token number that the end falls among are taken by number.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written, table
+from .common import Written, packed, table, unpacked
 
 #: Integer weights of domains and languages; sources weigh the same.
 DOMAINS = {"web": 4, "news": 3, "reference": 2, "forum": 1}
@@ -34,7 +38,8 @@ LANGUAGES = {"en": 4, "fr": 2, "de": 2, "es": 2}
 DEFAULT = 1
 EPOCHS = 2
 SEED = 17
-BUCKETS = 256
+#: Documents among which the end of a leaf is sought in one task, at most (more where one id repeats more often).
+ENOUGH = 1 << 16
 LEAF = ["domain", "language", "origin"]
 
 
@@ -82,34 +87,62 @@ def leaf_budgets(slim: DataFrame, budget_share: float = 1.0, epochs: int = EPOCH
     return out.select(*LEAF, "tokens", F.col("share").alias("budget"))
 
 
-def _key(doc_id: str, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def _key(doc_id: Column, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
+def _ends(slim: DataFrame, plan: DataFrame) -> DataFrame:
+    """Where each leaf's budget ends in its last epoch: the order key and tokens of the first documents not all taken, and how many of them are.
+
+    slim has the leaf, id and tokens of each document, plan the leaf, whole and rest.
+    """
+    now = Written(plan.select(*LEAF, "whole", "rest", F.lit("").alias("head"), F.lit(0).cast("long").alias("before")), "mix-ends")
+    while True:
+        rows = slim.join(now.df, LEAF).withColumn("key", _key(F.col("id"), F.col("whole"))).filter(F.startswith("key", "head"))
+        places = [*LEAF, "whole", "rest", "head", "before"]
+        width = F.length("head") + 2
+        sums = rows.groupBy(*places, F.substr("key", F.lit(1), width).alias("next")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        upto = F.col("before") + F.sum("t").over(W.partitionBy(*LEAF).orderBy("next"))
+        first = F.min(F.struct("next", (F.col("upto") - F.col("t")).alias("before"), "n"))
+        ends = sums.withColumn("upto", upto).filter("upto > rest").groupBy(*LEAF, "whole", "rest").agg(first.alias("e"))
+        new = Written(ends.select(*LEAF, "whole", "rest", F.col("e.next").alias("head"), F.col("e.before").alias("before"), F.col("e.n").alias("n")), "mix-ends", most=F.max("n"), deep=F.max(F.length("head")))
+        now.drop()
+        now = new
+        if not now.rows or now.metrics["most"] <= ENOUGH or now.metrics["deep"] >= 32:
+            break
+    rows = slim.join(now.df, LEAF).withColumn("key", _key(F.col("id"), F.col("whole"))).filter(F.startswith("key", "head"))
+    # Documents of one id and size count as one entry, so a repeated id is no more than a number.
+    alike = rows.groupBy(*LEAF, "whole", "rest", "before", "key", "tokens").agg((F.col("tokens") * F.count(F.lit(1))).alias("t"))
+    order = W.partitionBy(*LEAF).orderBy("key", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
+    over = alike.withColumn("upto", F.col("before") + F.sum("t").over(order)).filter("upto > rest")
+    end = over.groupBy(*LEAF, "whole").agg(F.min(F.struct("key", "tokens", whole_of(F.col("rest") - (F.col("upto") - F.col("t")), F.col("tokens")).alias("taken"))).alias("e"))
+    return Written(end.select(*LEAF, "whole", "e.*"), "mix-end").df
+
+
+def whole_of(rest: Column, tokens: Column) -> Column:
+    return F.when(tokens > 0, F.floor(rest / tokens)).otherwise(0).cast("long")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", budget_share: float = 1.0, epochs: int = EPOCHS) -> DataFrame:
     """The selected rows of docs with domain, epoch and tokens (a row for each epoch that takes it)."""
     named = {"domain": domain_of(F.col(source)), "language": F.coalesce(F.col(lang), F.lit("")), "origin": F.coalesce(F.col(source), F.lit("")), "tokens": n_tokens(F.col(text))}
-    slim = Written(docs.select(F.col(doc_id).alias("_id"), *(c.alias(k) for k, c in named.items())), "mix-slim").df
+    slim = Written(docs.select(F.col(doc_id).alias("id"), *(c.alias(k) for k, c in named.items())), "mix-slim").df
     plan = leaf_budgets(slim, budget_share, epochs).filter("tokens > 0")
-    plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
+    plan = plan.withColumn("whole", F.expr("budget DIV tokens").cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     plan = Written(plan, "mix-leaves").df
-    bucket = lambda key: F.conv(F.substring(key, 1, 2), 16, 10).cast("int")
-    sums = slim.join(plan.select(*LEAF, "whole", "rest"), LEAF).groupBy(*LEAF, "rest", bucket(_key("_id", F.col("whole"))).alias("b")).agg(F.sum("tokens").alias("t"))
-    run = sums.withColumn("upto", F.sum("t").over(W.partitionBy(*LEAF).orderBy("b")))
-    ends = run.filter("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("b", (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
-    ends = Written(plan.join(ends, LEAF, "left").select(*LEAF, "whole", "rest", F.coalesce("e.b", F.lit(BUCKETS)).alias("end"), F.coalesce("e.before", F.lit(0)).alias("before")), "mix-ends").df
-    new = {k: c for k, c in named.items() if k != "tokens"}
-    rows = docs.withColumns({f"_{k}": c for k, c in new.items()})
-    rows = rows.join(ends, [F.col(f"_{k}") == ends[k] for k in LEAF]).withColumn("_key", _key(doc_id, F.col("whole"))).withColumn("_b", bucket(F.col("_key")))
-    kept = [F.col(c) for c in docs.columns if c not in ("domain", "epoch", "tokens")]
-    out = lambda df, epoch, tokens: df.select(*kept, F.col("_domain").alias("domain"), epoch.cast("int").alias("epoch"), tokens.alias("tokens"))
-    tokens = n_tokens(F.col(text))
-    full = rows.filter("whole > 0").withColumn("_e", F.explode_outer(F.sequence(F.lit(0), F.col("whole") - 1)))
-    under = rows.filter("_b < end")
-    inside = rows.filter("_b = end").withColumn("_n", tokens)
-    order = W.partitionBy("_domain", "_language", "_origin").orderBy("_key", doc_id, "_n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = inside.withColumn("_run", F.sum("_n").over(order) + F.col("before")).filter("_run <= rest")
-    return out(full, F.col("_e"), tokens).unionByName(out(under, F.col("whole"), tokens)).unionByName(out(inside, F.col("whole"), F.col("_n")))
+    ends = _ends(slim, plan)
+    leaf = lambda df: df.select(*(F.col(k).alias(f"_{k}") for k in LEAF), *(F.col(k) for k in df.columns if k not in LEAF))
+    last = leaf(plan.select(*LEAF, "whole").join(ends.withColumnsRenamed({"tokens": "size"}).drop("whole"), LEAF, "left"))
+    rows = packed(docs, id=F.col(doc_id), tokens=named["tokens"], **{f"_{k}": named[k] for k in LEAF})
+    rows = rows.join(last, [f"_{k}" for k in LEAF]).withColumn("place", _key(F.col("id"), F.col("whole")))
+    before = (F.col("place") < F.col("key")) | ((F.col("place") == F.col("key")) & (F.col("tokens") < F.col("size")))
+    among = (F.col("place") == F.col("key")) & (F.col("tokens") == F.col("size"))
+    taken = F.when(F.coalesce(before, F.lit(False)), F.array(F.col("whole"))).otherwise(F.array().cast("array<int>"))
+    full = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
+    out = lambda df, epoch: df.select(*unpacked(df, "domain", "epoch", "tokens"), F.col("_domain").alias("domain"), epoch.cast("int").alias("epoch"), "tokens")
+    every = rows.withColumn("_e", F.explode(F.concat(full, taken)))
+    ties = rows.filter(among & (F.col("taken") > 0)).withColumn("_n", F.row_number().over(W.partitionBy(*(f"_{k}" for k in LEAF)).orderBy("place"))).filter("_n <= taken")
+    return out(every, F.col("_e")).unionByName(out(ties, F.col("whole")))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ integers whatever the corpus size, reach the second scan as an array literal.
 
 Defined cases: null or empty text has no words (it fails the word minimum);
 rows are judged one by one, so ties and repeated rows get equal results; an
-empty table gives an empty result; other columns, also those named like the
-results, do not matter to ``judge``, which reads only the two named columns.
+empty table gives an empty result; other columns pass through ``judge`` and
+``stage`` whatever their names, but ``judge`` puts its results in the place of columns named like them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import packed, settled, table, unpacked
 
 #: Characters that part words, and characters counted as symbols (fixed values).
 SPACE = " \t\n\x0b\x0c\r"
@@ -127,14 +127,23 @@ def bucket_weights(docs: DataFrame, text: str = "text") -> list[int]:
     return [round(1000 * (math.log((target.get(b, 0) + PRIOR) / (raw.get(b, 0) + PRIOR)) + scale)) for b in range(BUCKETS)]
 
 
+#: Columns that judge() gives beside those of the rows.
+RESULTS = ("_n", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
 def judge(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Every row of docs with the base statistics, ``llr`` (null without words) and ``kept``.
 
     ``kept`` is false where the base rules fail, else where the length-normalised
-    log-likelihood ratio is under ``threshold``. Internal columns start with ``_``.
+    log-likelihood ratio is under ``threshold``. Columns of docs named like RESULTS give way to them.
     """
-    weights = bucket_weights(docs, text)
-    out = with_base(docs, text).withColumn("_g", _grams("_u"))
+    out = _judged(packed(docs, text=F.col(text)), bucket_weights(docs, text), threshold)
+    return out.select(*unpacked(out, *RESULTS), *RESULTS)
+
+
+def _judged(rows: DataFrame, weights: list[int], threshold: float) -> DataFrame:
+    """Packed rows with their text, judged."""
+    out = with_base(rows, "text").withColumn("_g", _grams("_u"))
     # Folded by the optimizer into one array literal.
     lookup = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
     total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.get(lookup, b))
@@ -150,4 +159,5 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules and the method keep."""
-    return settled(judge(docs), "kept").filter("kept").select(*docs.columns)
+    out = settled(_judged(packed(docs, text=F.col("text")), bucket_weights(docs), THRESHOLD), "kept").filter("kept")
+    return out.select(*unpacked(out))

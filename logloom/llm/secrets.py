@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, table
+from .common import Written, packed, table, unpacked
 
 #: Base kinds in listed order: pattern, a cheap test that every text with a match passes, least lengths of whole match and group 2.
 NAMES = "password passwd secret token api_?key"
@@ -52,8 +52,12 @@ KINDS = ("assign", "access", "hex", "owner")
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+#: Matches folded at a time: appending to an array copies it.
+BLOCK = 256
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of all matches of a pattern, in order."""
+    """Spans of all matches of a pattern, in order: within blocks of matches first, then shifted by what the blocks before hold."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
@@ -64,9 +68,21 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def shifted(block: Column, by: Column) -> Column:
+        return F.transform(block["out"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    def joined(blocks: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        befores = F.aggregate(blocks, begin, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, befores, shifted))
+
+    def cut(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(BLOCK))
+        return F.transform(firsts, lambda i: F.aggregate(F.slice(pairs, i, F.lit(BLOCK)), start, step))
+
+    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    pairs = F.filter(F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
+    return once(pairs, lambda p: once(cut(p), joined))
 
 
 def _long_value(match: Column) -> Column:
@@ -100,7 +116,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository
     tokens = rows.filter("size(_more) > 0").select("doc_id", "_d", "_repo", "_owner", F.explode_outer("_more").alias("s"))
     tokens = tokens.withColumn("_v", F.sha2(F.col("s.value"), 256))
     holders = tokens.groupBy("_v", "_repo", "_owner").agg(F.lit(1).alias("one"))
-    many = lambda c: F.count_distinct(F.coalesce(F.col(c), F.lit("")))
+    # A null is one of its own, apart from an empty name.
+    many = lambda c: F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")))
     own = holders.groupBy("_v").agg(many("_repo").alias("r"), many("_owner").alias("o")).filter((F.col("r") <= MAX_OWNERS) & (F.col("o") <= MAX_OWNERS)).select("_v")
     added = tokens.join(own, "_v", "left_semi").groupBy("doc_id", "_d").agg(F.collect_set("s").alias("_own"))
     added = added.select(F.col("doc_id").alias("_i"), F.col("_d").alias("_e"), "_own")
@@ -132,10 +149,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents stay; every span is replaced by a mark and n_chars follows."""
     hit = scan(docs).filter("size(_spans) > 0").select(F.col("doc_id").alias("_i"), F.col("_d").alias("_e"), "_spans").distinct()
     hit = Written(hit, "secret-hits").df
-    joined = docs.withColumn("_d", F.xxhash64("text")).join(hit, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_d") == F.col("_e")), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans"))))
-    chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(chars)).select(*docs.columns)
+    rows = packed(docs, id=F.col("doc_id"), d=F.xxhash64("text"))
+    joined = rows.join(hit, F.col("id").eqNullSafe(F.col("_i")) & (F.col("d") == F.col("_e")), "left")
+    text, found = F.col("r.text"), F.col("_spans")
+    joined = joined.withColumn("_text", F.when(found.isNull(), text).otherwise(redacted(text, found)))
+    chars = F.when(found.isNull(), F.col("r.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    new = {"text": F.col("_text"), "n_chars": chars}
+    return joined.select(*(new[c].alias(c) if c in new else F.col(f"r.`{c}`").alias(c) for c in docs.columns))
 
 
 def _span_sql(kind: int, pattern: str, keep: str) -> str:

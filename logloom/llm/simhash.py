@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, table
+from .common import Written, packed, table, unpacked
 
 RADIUS = 3
 SHINGLE = 3
@@ -90,6 +90,14 @@ def _blocks(bits: list[int]) -> list[list[int]]:
     return [x.tolist() for x in np.array_split(bits, RADIUS + 1) if len(x)]
 
 
+def _number(path: list[int]) -> int:
+    """A path as one number."""
+    out = 0
+    for n in path:
+        out = out * (RADIUS + 2) + n + 1
+    return out
+
+
 def _split(spread: DataFrame, paths: list[list[int]]) -> DataFrame:
     """Deals fingerprints anew: for each path (the blocks taken so far, as block numbers) the bits left give RADIUS + 1 keys.
 
@@ -106,9 +114,8 @@ def _split(spread: DataFrame, paths: list[list[int]]) -> DataFrame:
         for n, block in enumerate(_blocks(left)):
             mask = taken | sum(1 << b for b in block)
             signed = mask - (1 << 64) if mask >> 63 else mask
-            name = "".join(map(str, [*path, n]))
-            dealt.append(F.struct(F.lit(name).alias("path"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("key")))
-        case = F.col("path") == "".join(map(str, path))
+            dealt.append(F.struct(F.lit(_number([*path, n])).cast("long").alias("path"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("key")))
+        case = F.col("path") == _number(path)
         of_path = F.when(case, F.array(*dealt)) if of_path is None else of_path.when(case, F.array(*dealt))
     return spread.select("fp", F.explode_outer(of_path).alias("d")).select("fp", "d.path", "d.key")
 
@@ -201,7 +208,7 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> _Forest:
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning-forest edges of complete buckets; rows come sorted by bucket and Gray rank."""
-    held_k, held_f, held_p = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+    held_k, held_f, held_p = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def done(keys, fps, paths):
         new = np.append(True, (keys[1:] != keys[:-1]) | (paths[1:] != paths[:-1])) if len(keys) else np.zeros(0, bool)
@@ -214,7 +221,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = np.append(held_k, b.column("key").to_numpy(zero_copy_only=False))
         fps = np.append(held_f, b.column("fp").to_numpy(zero_copy_only=False))
-        paths = np.append(held_p, np.array(b.column("path").to_pylist(), object))
+        paths = np.append(held_p, b.column("path").to_numpy(zero_copy_only=False))
         ends = np.flatnonzero((keys[1:] != keys[:-1]) | (paths[1:] != paths[:-1]))
         end = int(ends[-1]) + 1 if len(ends) else 0
         if end:
@@ -226,7 +233,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Edges (u, v), u > v, whose components are those of all pairs within RADIUS; distinct has one row for each fp."""
-    spread = distinct.select("fp", F.lit("").alias("path"))
+    spread = distinct.select("fp", F.lit(0).cast("long").alias("path"))
     paths: list[list[int]] = [[]]
     found = None
     while True:
@@ -265,15 +272,19 @@ def components(edges: DataFrame) -> DataFrame:
             return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row of docs."""
-    prints = Written(fingerprints(docs, doc_id, text), "fingerprints").df
+def _classes(prints: DataFrame, leaf: int) -> DataFrame:
+    """fp, root and component_id of every fingerprint; prints has doc_id and fp."""
     distinct = Written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct").df
     rooted = components(links(distinct, leaf))
     of_fp = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = of_fp.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = of_fp.join(of_root, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    return of_fp.join(of_root, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable) of every row of docs."""
+    prints = Written(fingerprints(docs, doc_id, text), "fingerprints").df
+    return prints.join(_classes(prints, leaf).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -282,8 +293,26 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        values = np.fromiter((fingerprint(t.as_py()) for t in b.column(3)), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(values.view(np.int64))], ["doc_id", "h1", "h2", "fp"])
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays (one row of it, should it repeat); rows without an id stay."""
-    stay = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Pipeline stage: of each component the row with the least (doc_id, digest of the row) stays; rows without an id all stay.
+
+    Rows are judged one by one, so rows that repeat a doc_id with texts of
+    their own stay where their components differ. Of rows equal in all columns one stays. Columns of any
+    name pass through; those of a map type do not count in the digest.
+    """
+    hashed = [F.col(f"`{n}`") for n, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"), h1=F.xxhash64(*hashed), h2=F.xxhash64(F.lit(1), *hashed))
+    known = rows.filter("doc_id is not null")
+    prints = Written(known.select("doc_id", "h1", "h2", F.col("r.text").alias("text")).mapInArrow(_keyed, "doc_id long, h1 long, h2 long, fp long"), "fingerprints").df
+    # Copies are summed up in each task before a group is moved.
+    least = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("k"))
+    stay = least.join(_classes(prints, LEAF), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    stay = Written(stay, "survivors").df
+    kept = known.join(stay, ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"])
+    return kept.select(*unpacked(kept)).unionByName(docs.filter("doc_id is null"))

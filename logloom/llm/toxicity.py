@@ -1,19 +1,20 @@
 """Toxicity by weak supervision.
 
 Voters. Each votes toxic (1), clean (0) or abstains (-1) on a text: a seed
-lexicon, lexicons of words and of word beginnings drawn from the labelled
-rows, and patterns (shouting, insults near a second person, the share of
-lexicon words). The generative label model has a latent class, an accuracy
-table for each voter, and correlations: voters that agree beyond what the
-class explains are gathered in one group, whose joint votes get one table. It
-is fitted by expectation maximisation over the distinct vote vectors of the
-whole learning part (the labels, where known, fix the class). Its posterior
-labels train a linear classifier (logistic regression on hashed words and
-word beginnings plus the votes), which scores every whole text.
-
-Fitting sample (documented bound): the classifier alone uses the ``SAMPLE``
-learnable rows with a label that come first by a digest of the id. Lexicons
-are drawn from counts over all labelled learnable rows, and vote vectors are
+lexicon, lexicons of words and of word beginnings drawn from the labelled rows, a
+lexicon of hostile phrases and one of courtesies, and patterns (shouting, insults near a second person or
+said of one, near the start, more than once, the share of lexicon words). The
+generative label model has a latent class, an accuracy table for each voter, and
+correlations: voters that agree beyond what the class explains are gathered in
+one group, whose joint votes get one table. It is fitted by expectation
+maximisation over the distinct vote vectors of the whole learning part (a label, where
+known, fixes the class). Its posterior of the votes alone labels the rows on which a linear
+classifier is trained (logistic regression on hashed words and word beginnings
+plus the votes), labelled or not; the classifier scores every whole text.
+
+Fitting sample (documented bound): the classifier alone is fitted on the
+``SAMPLE`` learnable rows that come first by a digest of the row, as feature numbers made on
+the executors. Lexicons are drawn from counts over all labelled learnable rows, and vote vectors are
 counted with their labels over all learnable rows. Everything else covers all
 rows. Labels come from rows whose crc32(doc_id) mod 5 is not 0 only. Votes
 are joined with labels by id, without the texts; word counts are summed up in
@@ -22,7 +23,7 @@ each batch and by Spark, and only words that pass the bar are collected.
 Defined cases: null text is empty and gets the classifier's score of no
 word at all; without labels the seed lexicon and the patterns still make a
 model; rows with conflicting labels count as toxic where any is; a null id
-is neither learned from nor held out; repeated rows score alike; an empty
+is neither learned from nor held out; repeated rows score alike and count once in the sample; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import Written, held_out, learnable, table
 
-#: Labelled rows that the classifier is fitted on, at most.
+#: Rows that the classifier is fitted on, at most.
 SAMPLE = 8_000
 DIMENSIONS = 1 << 18
 #: Lengths of word beginnings that are features and lexicon entries.
@@ -48,13 +49,17 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST_DOCS = 6
 LEAST_LIFT = 8.0
 ROUNDS = 40
-EPOCHS = 20
+EPOCHS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Seed lexicon: common English insults (fixed values).
 SEED = frozenset("idiot moron stupid scum trash loser pathetic worthless disgusting clown dumb fool jerk filth garbage imbecile cretin vermin bastard bitch".split())
-#: Second-person words (fixed values).
+#: Second-person words, hostile phrases and courtesies (fixed values).
 PERSON = frozenset("you your yourself tu vous toi du dich ihr tú vosotros usted".split())
+HOSTILE = ("hate you", "shut up", "get lost", "go away", "drop dead", "go to hell", "nobody likes")
+COURTEOUS = frozenset("please thanks thank regards sincerely welcome merci danke gracias bitte".split())
+#: Words at a text's start, and words about which what is known is kept in a worker.
+START, KNOWN = 20, 1 << 17
 
 
 def tokens(text: str | None) -> list[str]:
@@ -68,21 +73,46 @@ def stems(words: set[str]) -> set[str]:
 class Voters:
     """The voters over one text; lexicons are sets of words or of word beginnings."""
 
-    NAMES = ("seed", "words", "stems", "dense", "shout", "person")
+    NAMES = ("seed", "words", "stems", "dense", "shout", "person", "said", "start", "again", "hostile", "courteous", "short")
 
     def __init__(self, words: frozenset[str] = frozenset(), beginnings: frozenset[str] = frozenset()):
         self.words, self.beginnings = words, beginnings
+        self.bad = SEED | words
+        self._known: dict[str, tuple[bool, tuple[int, ...]]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "beginnings": self.beginnings, "bad": self.bad, "_known": {}}
+
+    def known(self, word: str) -> tuple[bool, tuple[int, ...]]:
+        """Whether a beginning of the word is listed, and the word's feature numbers."""
+        if word not in self._known:
+            if len(self._known) >= KNOWN:
+                self._known.clear()
+            heads = stems({word})
+            numbers = (zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIMENSIONS, *(zlib.crc32(b"^" + x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in heads))
+            self._known[word] = (not heads.isdisjoint(self.beginnings), numbers)
+        return self._known[word]
 
     def __call__(self, text: str | None, found: list[str] | None = None) -> tuple[int, ...]:
         w = tokens(text) if found is None else found
         kinds = set(w)
-        seed, drawn, stem = kinds & SEED, kinds & self.words, stems(kinds) & self.beginnings
-        bad = seed | drawn
-        hits = sum(x in bad for x in w) if bad else 0
-        near = bool(bad) and any(x in PERSON and any(y in bad for y in w[max(0, i - 3) : i + 4]) for i, x in enumerate(w))
+        here = kinds & self.bad
+        at = [i for i, x in enumerate(w) if x in here] if here else []
+        near = any(y in PERSON for i in at for y in w[max(0, i - 3) : i + 4])
+        said = any(y in PERSON for i in at for y in w[max(0, i - 2) : i])
         letters = sum(map(len, w))
         shout = letters > 40 and (text or "").count("!") * 12 > letters
-        return (1 if seed else 0, 1 if drawn else 0, 1 if stem else 0, 1 if hits * 100 > len(w) else (-1 if bad else 0), 1 if shout else -1, 1 if near else -1)
+        hostile = not kinds.isdisjoint(("hate", "shut", "lost", "away", "drop", "hell", "nobody")) and any(x in " ".join(w) for x in HOSTILE)
+        return (
+            int(not kinds.isdisjoint(SEED)), int(not kinds.isdisjoint(self.words)), int(any(self.known(x)[0] for x in kinds)), 1 if len(at) * 100 > len(w) else (-1 if at else 0),
+            1 if shout else -1, 1 if near else -1, 1 if said else -1, 1 if at and at[0] < START else -1, 1 if len(at) > 1 else -1, 1 if hostile else -1,
+            0 if not at and not kinds.isdisjoint(COURTEOUS) else -1, 0 if len(w) < 3 and not at else -1,
+        )
+
+    def features(self, found: list[str], votes: tuple[int, ...]) -> np.ndarray:
+        """Hashed numbers of words and beginnings present, then one for each vote cast."""
+        numbers = {n for w in set(found) for n in self.known(w)[1]}
+        return np.array([*sorted(numbers), *(DIMENSIONS + 2 * i + v for i, v in enumerate(votes) if v >= 0)], np.int32)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +154,8 @@ class LabelModel:
             known[label] += n
         if known[0] + known[1]:
             self.prior = (known[1] + 1) / (known[0] + known[1] + 2)
-        self.groups = [(i,) for i in range(len(Voters.NAMES))]
+        self.width = max((len(v) for v, _ in counts), default=len(Voters.NAMES))
+        self.groups = [(i,) for i in range(self.width)]
         self.tables: list[dict] = []
         # Start: a voter is right more often than not; where labels are known they count in full.
         post = {k: self._fixed(k[1], 0.5 if not any(v == 1 for v in k[0][:3]) else 0.9) for k in counts}
@@ -154,7 +185,7 @@ class LabelModel:
 
     def _correlated(self, counts, post) -> list[tuple[int, ...]]:
         """Groups of voters whose votes, class given, correlate by more than 0.3."""
-        votes = np.array([k[0] for k in counts], float).reshape(-1, len(Voters.NAMES))
+        votes = np.array([k[0] for k in counts], float).reshape(-1, self.width)
         n = np.array(list(counts.values()), float)
         p = np.array([post[k] for k in counts])
         root = list(range(votes.shape[1]))
@@ -170,6 +201,7 @@ class LabelModel:
         return [tuple(i for i, r in enumerate(root) if r == g) for g in sorted(set(root))]
 
     def posterior(self, votes: tuple[int, ...]) -> float:
+        votes = (*votes, *[-1] * (self.width - len(votes)))
         odds = np.log(self.prior / (1 - self.prior))
         for g, t in zip(self.groups, self.tables, strict=True):
             x = t.get(tuple(votes[i] for i in g), t[None])
@@ -177,14 +209,6 @@ class LabelModel:
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
-def features(found: list[str], votes: tuple[int, ...]) -> np.ndarray:
-    """Hashed indices of words and beginnings present, then one for each vote cast."""
-    kinds = set(found)
-    at = {zlib.crc32(w.encode()) % DIMENSIONS for w in kinds} | {zlib.crc32(b"^" + s.encode()) % DIMENSIONS for s in stems(kinds)}
-    cast = [DIMENSIONS + 2 * i + v for i, v in enumerate(votes) if v >= 0]
-    return np.array([*at, *cast], np.int32)
-
-
 class Linear:
     """Logistic regression on sparse indices; the hashed part of a text is scaled by its size."""
 
@@ -223,7 +247,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         w = tokens(text)
-        return self.linear.score(features(w, self.voters(text, w)))
+        return self.linear.score(self.voters.features(w, self.voters(text, w)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel]:
@@ -238,22 +262,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
             got = [",".join(map(str, shared.value(t.as_py()))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], ["doc_id", "votes"])
 
-    # At most 3 ** (len(NAMES) + 1) rows, whatever the corpus; every learnable row counts with its label, if it has one.
+    # A row for each vote vector met (their number has a bound, whatever the corpus); every learnable row counts with its label, if it has one.
     votes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vote, "doc_id long, votes string")
     every = votes.join(marks, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("y")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "y").collect()
     model = LabelModel({(tuple(map(int, r["votes"].split(","))), r["y"]): r["n"] for r in every})
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = [(r["text"] or "", r["toxic"]) for r in docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toLocalIterator()]
-    labelled = [(voters(t), y) for t, y in rows]
-    # Posterior labels: what the label model holds of the votes, moved by the row's own label where it has one.
-    target = np.array([0.2 * model.posterior(v) + 0.8 * y for v, y in labelled])
-    x = [features(tokens(t), v) for (t, _), (v, _) in zip(rows, labelled, strict=True)]
-    if not rows:
-        # Nothing labelled: the vote vectors themselves train the classifier.
-        found = [tuple(map(int, r["votes"].split(","))) for r in every]
-        x = [features([], v) for v in found]
-        target = np.array([model.posterior(v) for v in found])
-    return Model(voters, Linear().fit(x, target)), model
+    # The sample's bar is found on digests alone; its rows come as numbers, not as texts.
+    digest = F.xxhash64("doc_id", "text")
+    bar = docs.select(digest.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes, numbers = [], []
+            for t in b.column(1):
+                w = tokens(t.as_py())
+                v = shared.value(t.as_py(), w)
+                votes.append(",".join(map(str, v)))
+                numbers.append(shared.value.features(w, v))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.string()), pa.array(numbers, pa.list_(pa.int32()))], ["h", "votes", "x"])
+
+    rows = []
+    if bar is not None:
+        chosen = docs.select(digest.alias("h"), "text").filter(F.col("h") <= bar).dropDuplicates(["h"]).mapInArrow(featured, "h long, votes string, x array<int>")
+        rows = sorted(chosen.toLocalIterator(), key=lambda r: r["h"])
+    target = np.array([model.posterior(tuple(map(int, r["votes"].split(",")))) for r in rows])
+    return Model(voters, Linear().fit([np.array(r["x"], np.int32) for r in rows], target)), model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
