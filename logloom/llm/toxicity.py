@@ -93,9 +93,19 @@ class Voters:
             self._known[word] = (not heads.isdisjoint(self.beginnings), numbers)
         return self._known[word]
 
-    def __call__(self, text: str | None, found: list[str] | None = None) -> tuple[int, ...]:
-        w = tokens(text) if found is None else found
+    def __call__(self, text: str | None) -> tuple[int, ...]:
+        return self.judged(text)[0]
+
+    def judged(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray]:
+        """The votes on a text and its feature numbers: of words and beginnings present, sorted, then one for each vote cast."""
+        w = tokens(text)
         kinds = set(w)
+        numbers: set[int] = set()
+        stem, known = False, self._known
+        for x in kinds:
+            k = known.get(x) or self.known(x)
+            stem = stem or k[0]
+            numbers.update(k[1])
         here = kinds & self.bad
         at = [i for i, x in enumerate(w) if x in here] if here else []
         near = any(y in PERSON for i in at for y in w[max(0, i - 3) : i + 4])
@@ -103,29 +113,37 @@ class Voters:
         letters = sum(map(len, w))
         shout = letters > 40 and (text or "").count("!") * 12 > letters
         hostile = not kinds.isdisjoint(("hate", "shut", "lost", "away", "drop", "hell", "nobody")) and any(x in " ".join(w) for x in HOSTILE)
-        return (
-            int(not kinds.isdisjoint(SEED)), int(not kinds.isdisjoint(self.words)), int(any(self.known(x)[0] for x in kinds)), 1 if len(at) * 100 > len(w) else (-1 if at else 0),
+        votes = (
+            int(not kinds.isdisjoint(SEED)), int(not kinds.isdisjoint(self.words)), int(stem), 1 if len(at) * 100 > len(w) else (-1 if at else 0),
             1 if shout else -1, 1 if near else -1, 1 if said else -1, 1 if at and at[0] < START else -1, 1 if len(at) > 1 else -1, 1 if hostile else -1,
             0 if not at and not kinds.isdisjoint(COURTEOUS) else -1, 0 if len(w) < 3 and not at else -1,
         )
+        cast = [DIMENSIONS + 2 * i + v for i, v in enumerate(votes) if v >= 0]
+        return votes, np.concatenate([np.sort(np.fromiter(numbers, np.int32, len(numbers))), np.array(cast, np.int32)])
+
 
-    def features(self, found: list[str], votes: tuple[int, ...]) -> np.ndarray:
-        """Hashed numbers of words and beginnings present, then one for each vote cast."""
-        numbers = {n for w in set(found) for n in self.known(w)[1]}
-        return np.array([*sorted(numbers), *(DIMENSIONS + 2 * i + v for i, v in enumerate(votes) if v >= 0)], np.int32)
+#: Words and beginnings that a task sums up before it hands the sums on.
+HELD = 1 << 18
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by label (word null, stem false), then documents by label of each word and beginning; text and label come in."""
+    seen: dict[tuple[str | None, bool], list[int]] = defaultdict(lambda: [0, 0])
+
+    def out() -> pa.RecordBatch:
+        words, stem = [k[0] for k in seen], [k[1] for k in seen]
+        clean, toxic = [n[0] for n in seen.values()], [n[1] for n in seen.values()]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(stem, pa.bool_()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["word", "stem", "clean", "toxic"])
+
     for b in batches:
-        seen: dict[tuple[str | None, bool], list[int]] = defaultdict(lambda: [0, 0])
         for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             kinds = set(tokens(text.as_py()))
             for key in ((None, False), *((w, False) for w in kinds), *((w, True) for w in stems(kinds))):
                 seen[key][label] += 1
-        words, stem = [k[0] for k in seen], [k[1] for k in seen]
-        clean, toxic = [n[0] for n in seen.values()], [n[1] for n in seen.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(stem, pa.bool_()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["word", "stem", "clean", "toxic"])
+            if len(seen) >= HELD:
+                yield out()
+    yield out()
 
 
 def draw(rows: DataFrame) -> Voters:
@@ -246,15 +264,15 @@ class Model:
         self.voters, self.linear = voters, linear
 
     def score(self, text: str | None) -> float:
-        w = tokens(text)
-        return self.linear.score(self.voters.features(w, self.voters(text, w)))
+        return self.linear.score(self.voters.judged(text)[1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, LabelModel]:
     """docs (doc_id, text) and labels (doc_id, toxic), both of learnable rows only."""
     spark = docs.sparkSession
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    voters = draw(docs.join(marks, "doc_id"))
+    # Joined the same way at every size: labels grow with the corpus, so they are never broadcast.
+    voters = draw(docs.join(marks.hint("merge"), "doc_id"))
     shared = spark.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
 
     # A row for each vote vector met (their number has a bound, whatever the corpus); every learnable row counts with its label, if it has one.
     votes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vote, "doc_id long, votes string")
-    every = votes.join(marks, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("y")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "y").collect()
+    every = votes.join(marks.hint("merge"), "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("y")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "y").collect()
     model = LabelModel({(tuple(map(int, r["votes"].split(","))), r["y"]): r["n"] for r in every})
     # The sample's bar is found on digests alone; its rows come as numbers, not as texts.
     digest = F.xxhash64("doc_id", "text")
@@ -274,10 +292,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
         for b in batches:
             votes, numbers = [], []
             for t in b.column(1):
-                w = tokens(t.as_py())
-                v = shared.value(t.as_py(), w)
+                v, x = shared.value.judged(t.as_py())
                 votes.append(",".join(map(str, v)))
-                numbers.append(shared.value.features(w, v))
+                numbers.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.string()), pa.array(numbers, pa.list_(pa.int32()))], ["h", "votes", "x"])
 
     rows = []
