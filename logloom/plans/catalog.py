@@ -14,7 +14,7 @@ from ..operators.registry import Registry
 from ..operators.templates import mine
 from ..session import spread, table
 from ..sources.grouping import batch_payload, group_lines, kafka_value
-from . import search, store
+from . import rules, search, store
 from .normalize import normalize
 from .render import FORMATS, MIX, TIME
 
@@ -72,6 +72,20 @@ def _format_query(name: str) -> None:
 for _name in FORMATS:
     _format_query(_name)
 
+def _rules_query(group: str) -> None:
+    columns, _ = rules.GROUPS[group]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = spread(table(spark, sf_dir, "events")).select("event_id", F.expr(rules.line(group)).alias("raw"))
+        out = events_of(lines, *dict.fromkeys(path.split(".")[0] for path in columns.values()))
+        return out.select("event_id", *(F.expr(path).cast("string").alias(c) for c, path in columns.items()))
+
+    query(group, rules.oracle(group))(run)
+
+
+for _name in rules.GROUPS:
+    _rules_query(_name)
+
 _BAD = "event_type IN ('error', 'signup')"
 
 
@@ -168,6 +182,32 @@ def upsert_latest(spark, sf_dir):
 _SPLIT = "TIMESTAMP '2024-01-15 00:00:00'"
 
 
+@query("analytics_os_family", f"SELECT CASE WHEN p LIKE 'LINUX%' THEN 'Linux' WHEN p LIKE 'ANDROID%' THEN 'Android' WHEN p LIKE 'WIN%' THEN 'Windows' WHEN p LIKE 'FW%' THEN 'Network' ELSE 'Unknown' END AS os_family, count(*) AS cnt FROM (SELECT {mix_sql('parser_id')} AS p FROM events) GROUP BY 1")
+def analytics_os_family(spark, sf_dir):
+    return store.counts(mixed_events(spark, sf_dir, "device").select(F.col("device.os.family").alias("os_family")), "os_family", "os_family", 20)
+
+
+@query("dlq_page", "SELECT CAST(event_id AS VARCHAR) AS event_id, ts AS ingested_at FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 30 OFFSET 10")
+def dlq_page(spark, sf_dir):
+    dead = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("ingested_at"))
+    return store.dlq_page(dead, 30, 10)
+
+
+@query("dlq_and_normalized_counts", "SELECT count(*) FILTER (WHERE event_type = 'error') AS dlq, count(*) FILTER (WHERE user_id % 3 <> 0) AS normalized FROM events")
+def dlq_and_normalized_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnRenamed("ts", "ingested_at")
+    hot, cold = store.tiers(e, F.expr("timestamp_ntz'2024-01-16 00:00:00'"))
+    some = "user_id % 3 <> 0"
+    return store.total(e.filter("event_type = 'error'"), name="dlq").crossJoin(store.total(hot.filter(some), cold.filter(some), name="normalized"))
+
+
+@query("hot_cold_page", "SELECT CAST(e.event_id AS VARCHAR) AS event_id, event_type AS source, ts AS ingested_at, CASE WHEN user_id % 3 <> 0 THEN CAST(user_id % 4 + 3001 AS INT) END AS class_uid FROM events e ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 40 OFFSET 25")
+def hot_cold_page(spark, sf_dir):
+    raw, normalized = _stored(spark, sf_dir)
+    edge = F.expr("timestamp_ntz'2024-01-15 00:00:00'")
+    return store.page_of_tiers((raw.filter(F.col("ingested_at") >= edge), normalized), (raw.filter(F.col("ingested_at") < edge), normalized), 40, 25)
+
+
 @query("tiering_split", f"SELECT CASE WHEN ts >= {_SPLIT} THEN 'hot' ELSE 'cold' END AS tier, count(*) AS cnt, min(event_id) AS least_id FROM events GROUP BY 1")
 def tiering_split(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("ts", "ingested_at")

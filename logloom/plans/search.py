@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top: int = 10) -> Dat
 
     Only rows with a query word are exploded or moved; length statistics are two sums over the scan.
     """
-    words = sorted({w for w in query.lower().split() if w})
+    words = sorted({w for w in re.split(r"\W+", query.lower(), flags=re.ASCII) if w})
+    if not words:
+        return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
     rows = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
     times = lambda w: F.size(F.filter("t", lambda x: x == w))
     hit = rows.select("key", "len", *[times(w).alias(f"tf{i}") for i, w in enumerate(words)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,48 @@ def page(raw: DataFrame, normalized: DataFrame, limit: int, offset: int = 0, sou
     return rows.orderBy(F.desc("ingested_at"), "event_id").offset(offset).limit(limit)
 
 
+def dlq_page(dead: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Newest dead-letter rows first, a page of them (the limit is the feature)."""
+    return dead.orderBy(F.desc("ingested_at"), "event_id").offset(offset).limit(limit)
+
+
+def total(*tables: DataFrame, name: str = "total") -> DataFrame:
+    """One row: the rows of all the tables (tiers of dead-letter or normalised events)."""
+    out = None
+    for t in tables:
+        one = t.agg(F.count(F.lit(1)).alias(name))
+        out = one if out is None else out.unionByName(one)
+    return out.agg(F.sum(name).alias(name))
+
+
+def page_of_tiers(hot: tuple[DataFrame, DataFrame], cold: tuple[DataFrame, DataFrame], limit: int, offset: int = 0, **filters) -> DataFrame:
+    """A page over both tiers, each (raw, normalized): no tier gives more than the page's end."""
+    first = [page(raw, normalized, limit + offset, **filters) for raw, normalized in (hot, cold)]
+    return first[0].unionByName(first[1]).orderBy(F.desc("ingested_at"), "event_id").offset(offset).limit(limit)
+
+
+def move_tier(spark: SparkSession, hot: str, cold: str, now: Column, hours: int = 24, most: int = 1000) -> int:
+    """One pass that moves the oldest rows past their age from the hot to the cold table (Parquet folders); returns their number.
+
+    Rows of the cold table are known by event_id, so a pass that broke off after the append moves nothing twice.
+    """
+    rows = spark.read.parquet(hot)
+    _, old = tiers(rows, now, hours)
+    chosen = old.orderBy("ingested_at", "event_id").limit(most).select("event_id")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(hot).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    moved = rows.join(F.broadcast(chosen), "event_id", "left_semi")
+    if files.exists(path(cold)):
+        moved = moved.join(spark.read.parquet(cold).select("event_id"), "event_id", "left_anti")
+    moved.write.mode("append").parquet(cold)
+    gone = spark.read.parquet(cold).select("event_id")
+    n = rows.join(gone, "event_id", "left_semi").count()
+    rows.join(gone, "event_id", "left_anti").write.mode("overwrite").parquet(f"{hot}.next")
+    files.delete(path(hot), True)
+    files.rename(path(f"{hot}.next"), path(hot))
+    return n
+
+
 def counts(df: DataFrame, by: str | Column, name: str, top: int | None = None) -> DataFrame:
     """name, cnt by descending count (ties by name), the first top of them if given."""
     column = F.col(by) if isinstance(by, str) else by
@@ -105,8 +147,12 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def archive(raw: DataFrame, path: str) -> None:
-    """Content-addressed raw archive by source and day; equal records are kept once."""
+    """Content-addressed raw archive by source and day; equal records are kept once, in one run or in several."""
     keyed = raw.dropDuplicates(["source", "raw_sha256"]).withColumn("day", F.date_format("ingested_at", "yyyy-MM-dd"))
+    spark = raw.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        keyed = keyed.join(spark.read.parquet(path).select("source", "raw_sha256"), ["source", "raw_sha256"], "left_anti").select(*keyed.columns)
     keyed.write.mode("append").partitionBy("source", "day").parquet(path)
 
 
