@@ -250,7 +250,7 @@ def rate_1m(spark, sf_dir):
 
 @query("latency_quantiles_5m", "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY 1, 2")
 def latency_quantiles_5m(spark, sf_dir):
-    return search.quantiles(table(spark, sf_dir, "events"), "ts", "value", ["event_type"])
+    return search.quantiles(table(spark, sf_dir, "events"), "ts", "value", ["event_type"], exact=True)
 
 
 @query("latency_histogram", "SELECT " + ", ".join(f"count(*) FILTER (WHERE value <= {e:g}) AS " + f"le_{e:g}".replace(".", "_") for e in (0.5, 1.0, 5.0, 10.0, 50.0)) + ", count(value) AS le_inf FROM events")

@@ -93,8 +93,8 @@ def normalize(df: DataFrame, raw: str = "raw", registry: Registry | None = None,
     if key not in _NOTED:
         _NOTED[key] = _event_steps(raw, registry, reference_now, year, event_id)
     steps, event = _NOTED[key]
-    extra = {c: F.col(f"`{c}`") for c in df.columns if c != raw and c not in event}
     wanted = event if columns is None else {c: event[c] for c in columns}
+    extra = {c: F.col(f"`{c}`") for c in df.columns if c != raw and c not in wanted}
     return steps.on(df, extra | wanted)
 
 
@@ -103,13 +103,13 @@ def _event_steps(raw: str, registry: Registry, reference_now: str, year: int, ev
     out, parsers = _parse_steps(raw, registry)
     family, text = F.col("_family"), F.coalesce(F.col(raw), F.lit(""))
     picked = lambda read: by_family(parsers, family, read)
-    given = {f"p_{a}": picked(lambda p, a=a: p.attribute(a) if a in p.given else None) for a in ATTRIBUTES}
-    held = {f"v_{n}": picked(lambda p, n=n: p.values.get(n)) for n in (*PATHS, *FIELDS)}
+    given = {f"_p_{a}": picked(lambda p, a=a: p.attribute(a) if a in p.given else None) for a in ATTRIBUTES}
+    held = {f"_v_{n}": picked(lambda p, n=n: p.values.get(n)) for n in (*PATHS, *FIELDS)}
     # A literal test on every row would take the projection into whole-stage code; these are long.
     out.withColumns({k: guarded(family > 0, c) for k, c in (given | held).items() if c is not None})
-    p = {a: F.col(f"p_{a}") for a in ATTRIBUTES}
+    p = {a: F.col(f"_p_{a}") for a in ATTRIBUTES}
     nothing = F.lit(None).cast("string")
-    value = lambda n: F.col(f"`v_{n}`") if held[f"v_{n}"] is not None else nothing
+    value = lambda n: F.col(f"`_v_{n}`") if held[f"_v_{n}"] is not None else nothing
     num = lambda n: ocsf.coerced(value(n))
     f = {n: value(n) for n in FIELDS}
     uid = ocsf.class_uid(p["class_uid"].cast("string"))
@@ -133,7 +133,7 @@ def _event_steps(raw: str, registry: Registry, reference_now: str, year: int, ev
         c = F.when(family == FAMILIES["ngre"], direct[k]).when(family == FAMILIES["drain3"], fallback.get(k, F.lit(0.0)))
         for fam, s in of_family.items():
             c = c.when(family == FAMILIES[fam], s[k])
-        scores[f"s_{k}"] = guarded(family > 0, c.otherwise(0.0))
+        scores[f"_s_{k}"] = guarded(family > 0, c.otherwise(0.0))
     time, original = ocsf.time_of(f, reference_now)
     out.withColumns(scores | {"_time": time, "_orig": original})
     return out, _event(raw, text, family, p, value, num, event_id, reference_now)
@@ -172,7 +172,7 @@ def _event(raw: str, text: Sql, family: Sql, p: dict[str, Sql], value, num, even
         "dst_endpoint": F.struct(value("dst_endpoint.ip").alias("ip"), num("dst_endpoint.port").alias("port"), value("dst_endpoint.hostname").alias("hostname")),
         "connection_info": F.struct(value("connection_info.protocol_name").alias("protocol_name"), value("connection_info.direction").alias("direction"), F.lit(None).cast("int").alias("protocol_num")),
         "auth_protocol": value("auth_protocol"), "metadata": metadata, "observables": ocsf.observables(text), "unmapped": F.col("_kept"), "raw_data": text,
-        "confidence": F.col("s_aggregate"), "confidence_breakdown": F.struct(*(F.col(f"s_{k}").alias(k) for k in BREAKDOWN), F.col("_coverage").alias("field_coverage")), "parse_path": path, "parse_stages": stages,
+        "confidence": F.col("_s_aggregate"), "confidence_breakdown": F.struct(*(F.col(f"_s_{k}").alias(k) for k in BREAKDOWN), F.col("_coverage").alias("field_coverage")), "parse_path": path, "parse_stages": stages,
         "parse_status": F.when(family == FAMILIES["drain3"], "fallback").when(family == FAMILIES["dlq"], "failed").when(confident, "parsed").otherwise("partially_parsed"),
         "ocsf_mapping_status": F.when(deterministic & confident, "mapped").otherwise("unmapped"), "needs_review": ~deterministic | ~confident | F.coalesce(low, F.lit(False)),
         # Class-scoped extras and routing, beside the uniform keys.

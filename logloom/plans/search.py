@@ -68,8 +68,8 @@ def rate(df: DataFrame, ts: str, by: list[str], window: str = "1 minute", second
     return df.groupBy(F.window(ts, window).alias("w"), *by).agg((F.count(F.lit(1)) / F.lit(seconds)).alias("per_second")).select(F.col("w.start").alias("start"), *by, "per_second")
 
 
-def quantiles(df: DataFrame, ts: str, value: str, by: list[str], window: str = "5 minutes", exact: bool = True) -> DataFrame:
-    """p50, p95, p99 of a value in tumbling windows; approximate sketches for large data."""
+def quantiles(df: DataFrame, ts: str, value: str, by: list[str], window: str = "5 minutes", exact: bool = False) -> DataFrame:
+    """p50, p95, p99 of a value in tumbling windows: bounded sketches, or exact, which holds all values of a group."""
     q = (lambda p: F.percentile(value, F.lit(p))) if exact else (lambda p: F.percentile_approx(value, p))
     return df.groupBy(F.window(ts, window).alias("w"), *by).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99")).select(F.col("w.start").alias("start"), *by, "p50", "p95", "p99")
 

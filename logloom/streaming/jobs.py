@@ -1,7 +1,8 @@
 """Structured Streaming: micro-batch ingest, fan-out sinks, stateful grouping and template mining.
 
-Delivery is at least once with idempotent keys: batches are upserted by
-(topic, partition, offset) or by the record's hash, so a replayed batch changes nothing.
+Delivery is at least once with idempotent sinks: a batch has a folder of its own that a
+replay overwrites, and events carry (topic, partition, offset) as their id, by which
+``store.upsert`` keeps one of each.
 """
 
 from __future__ import annotations
@@ -65,10 +66,12 @@ def to_topics(servers: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def grouped(lines: DataFrame) -> DataFrame:
+def grouped(lines: DataFrame, quiet_ms: int = 60_000) -> DataFrame:
     """Records of streamed (source, seq, line) rows: the open record of each source is kept as state.
 
-    A record is put out when the next boundary line comes (the last one of a source stays open).
+    A record is put out when the next boundary line comes, or once its source has been
+    quiet for quiet_ms: so the last record of a source that ended comes out too, with the next batch
+    (in this run of the query or, from its checkpoint, in a later one).
     """
     import re
 
@@ -78,6 +81,11 @@ def grouped(lines: DataFrame) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         open_, held = state.get if state.exists else ("", "")
+        if state.hasTimedOut:
+            state.remove()
+            last = (f"{held}\n{open_}" if held and open_ else held or open_).strip()
+            yield pd.DataFrame([(key[0], last)] if last else [], columns=["source", "raw"])
+            return
         out: list[str] = []
         for pdf in batches:
             for line in pdf.sort_values("seq")["line"]:
@@ -94,9 +102,10 @@ def grouped(lines: DataFrame) -> DataFrame:
                 else:
                     open_, held = (open_ + "\n" + line, held) if open_ else ((held + "\n" + line) if held else line, "")
         state.update((open_, held))
+        state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame([(key[0], r.strip()) for r in out if r.strip()], columns=["source", "raw"])
 
-    return lines.groupBy("source").applyInPandasWithState(step, "source string, raw string", "open string, held string", "append", "NoTimeout")
+    return lines.groupBy("source").applyInPandasWithState(step, "source string, raw string", "open string, held string", "append", "ProcessingTimeTimeout")
 
 
 def progress(query) -> dict:
