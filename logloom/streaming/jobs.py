@@ -66,12 +66,12 @@ def to_topics(servers: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def grouped(lines: DataFrame, quiet_ms: int = 60_000) -> DataFrame:
+def grouped(lines: DataFrame, quiet_ms: int | None = None) -> DataFrame:
     """Records of streamed (source, seq, line) rows: the open record of each source is kept as state.
 
-    A record is put out when the next boundary line comes, or once its source has been
-    quiet for quiet_ms: so the last record of a source that ended comes out too, with the next batch
-    (in this run of the query or, from its checkpoint, in a later one).
+    A record is put out when the next boundary line comes, or, where quiet_ms is given, once
+    its source has been quiet for so long: then the last record of a source that ended comes out too. That
+    needs a trigger that goes on (a run of what is available now would wait for ever); without it the last record stays open.
     """
     import re
 
@@ -81,7 +81,7 @@ def grouped(lines: DataFrame, quiet_ms: int = 60_000) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         open_, held = state.get if state.exists else ("", "")
-        if state.hasTimedOut:
+        if quiet_ms is not None and state.hasTimedOut:
             state.remove()
             last = (f"{held}\n{open_}" if held and open_ else held or open_).strip()
             yield pd.DataFrame([(key[0], last)] if last else [], columns=["source", "raw"])
@@ -102,10 +102,11 @@ def grouped(lines: DataFrame, quiet_ms: int = 60_000) -> DataFrame:
                 else:
                     open_, held = (open_ + "\n" + line, held) if open_ else ((held + "\n" + line) if held else line, "")
         state.update((open_, held))
-        state.setTimeoutDuration(quiet_ms)
+        if quiet_ms is not None:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame([(key[0], r.strip()) for r in out if r.strip()], columns=["source", "raw"])
 
-    return lines.groupBy("source").applyInPandasWithState(step, "source string, raw string", "open string, held string", "append", "ProcessingTimeTimeout")
+    return lines.groupBy("source").applyInPandasWithState(step, "source string, raw string", "open string, held string", "append", "NoTimeout" if quiet_ms is None else "ProcessingTimeTimeout")
 
 
 def progress(query) -> dict:
