@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -60,6 +61,8 @@ HOSTILE = ("hate you", "shut up", "get lost", "go away", "drop dead", "go to hel
 COURTEOUS = frozenset("please thanks thank regards sincerely welcome merci danke gracias bitte".split())
 #: Words at a text's start, and words about which what is known is kept in a worker.
 START, KNOWN = 20, 1 << 17
+#: Stands before feature numbers for a listed beginning.
+LISTED = -1
 
 
 def tokens(text: str | None) -> list[str]:
@@ -70,6 +73,32 @@ def stems(words: set[str]) -> set[str]:
     return {w[:k] for w in words for k in STEMS if len(w) > k}
 
 
+class _Numbers(dict):
+    """Feature numbers of a word and its beginnings, as bytes of 32-bit integers; LISTED is among them where a beginning is listed.
+
+    The first KNOWN words met are kept (frequent ones come early), others are worked out anew.
+    """
+
+    def __init__(self, beginnings: frozenset[str]):
+        super().__init__()
+        self.beginnings = beginnings
+
+    def __missing__(self, word: str) -> bytes:
+        numbers = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIMENSIONS]
+        crc, done = zlib.crc32(b"^"), 0
+        for k in STEMS:
+            if len(word) <= k:
+                break
+            crc, done = zlib.crc32(word[done:k].encode("utf-8", "surrogatepass"), crc), k
+            numbers.append(crc % DIMENSIONS)
+            if word[:k] in self.beginnings:
+                numbers.append(LISTED)
+        found = array("i", numbers).tobytes()
+        if len(self) < KNOWN:
+            self[word] = found
+        return found
+
+
 class Voters:
     """The voters over one text; lexicons are sets of words or of word beginnings."""
 
@@ -78,20 +107,10 @@ class Voters:
     def __init__(self, words: frozenset[str] = frozenset(), beginnings: frozenset[str] = frozenset()):
         self.words, self.beginnings = words, beginnings
         self.bad = SEED | words
-        self._known: dict[str, tuple[bool, tuple[int, ...]]] = {}
-
-    def __getstate__(self) -> dict:
-        return {"words": self.words, "beginnings": self.beginnings, "bad": self.bad, "_known": {}}
+        self._known = _Numbers(beginnings)
 
-    def known(self, word: str) -> tuple[bool, tuple[int, ...]]:
-        """Whether a beginning of the word is listed, and the word's feature numbers."""
-        if word not in self._known:
-            if len(self._known) >= KNOWN:
-                self._known.clear()
-            heads = stems({word})
-            numbers = (zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIMENSIONS, *(zlib.crc32(b"^" + x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in heads))
-            self._known[word] = (not heads.isdisjoint(self.beginnings), numbers)
-        return self._known[word]
+    def __reduce__(self):
+        return Voters, (self.words, self.beginnings)
 
     def __call__(self, text: str | None) -> tuple[int, ...]:
         return self.judged(text)[0]
@@ -100,12 +119,9 @@ class Voters:
         """The votes on a text and its feature numbers: of words and beginnings present, sorted, then one for each vote cast."""
         w = tokens(text)
         kinds = set(w)
-        numbers: set[int] = set()
-        stem, known = False, self._known
-        for x in kinds:
-            k = known.get(x) or self.known(x)
-            stem = stem or k[0]
-            numbers.update(k[1])
+        numbers = np.sort(np.frombuffer(b"".join(map(self._known.__getitem__, kinds)), np.int32))
+        numbers = numbers[np.append(True, numbers[1:] != numbers[:-1])] if len(numbers) else numbers
+        stem = len(numbers) > 0 and numbers[0] == LISTED
         here = kinds & self.bad
         at = [i for i, x in enumerate(w) if x in here] if here else []
         near = any(y in PERSON for i in at for y in w[max(0, i - 3) : i + 4])
@@ -119,7 +135,7 @@ class Voters:
             0 if not at and not kinds.isdisjoint(COURTEOUS) else -1, 0 if len(w) < 3 and not at else -1,
         )
         cast = [DIMENSIONS + 2 * i + v for i, v in enumerate(votes) if v >= 0]
-        return votes, np.concatenate([np.sort(np.fromiter(numbers, np.int32, len(numbers))), np.array(cast, np.int32)])
+        return votes, np.concatenate([numbers[int(stem) :], np.array(cast, np.int32)])
 
 
 #: Words and beginnings that a task sums up before it hands the sums on.
@@ -128,20 +144,29 @@ HELD = 1 << 18
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by label (word null, stem false), then documents by label of each word and beginning; text and label come in."""
-    seen: dict[tuple[str | None, bool], list[int]] = defaultdict(lambda: [0, 0])
+    # By stem, then label.
+    seen = ((Counter(), Counter()), (Counter(), Counter()))
+    rows = [0, 0]
 
     def out() -> pa.RecordBatch:
-        words, stem = [k[0] for k in seen], [k[1] for k in seen]
-        clean, toxic = [n[0] for n in seen.values()], [n[1] for n in seen.values()]
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(stem, pa.bool_()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["word", "stem", "clean", "toxic"])
+        words, stem, by_label = [None], [False], ([rows[0]], [rows[1]])
+        for s, pair in enumerate(seen):
+            for label, counts in enumerate(pair):
+                words += counts.keys()
+                stem += [s == 1] * len(counts)
+                by_label[label].extend(counts.values())
+                by_label[1 - label].extend([0] * len(counts))
+                counts.clear()
+        rows[:] = 0, 0
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(stem, pa.bool_()), *(pa.array(n, pa.int64()) for n in by_label)], ["word", "stem", "clean", "toxic"])
 
     for b in batches:
         for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             kinds = set(tokens(text.as_py()))
-            for key in ((None, False), *((w, False) for w in kinds), *((w, True) for w in stems(kinds))):
-                seen[key][label] += 1
-            if len(seen) >= HELD:
+            rows[label] += 1
+            seen[0][label].update(kinds)
+            seen[1][label].update(stems(kinds))
+            if sum(map(len, (*seen[0], *seen[1]))) >= HELD:
                 yield out()
     yield out()
 
