@@ -132,7 +132,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     plan = Written(plan, "mix-leaves").df
     ends = _ends(slim, plan)
     leaf = lambda df: df.select(*(F.col(k).alias(f"_{k}") for k in LEAF), *(F.col(k) for k in df.columns if k not in LEAF))
-    last = leaf(plan.select(*LEAF, "whole").join(ends.withColumnsRenamed({"tokens": "size"}).drop("whole"), LEAF, "left"))
+    # Written, so that its size is known before texts are joined with it: a plan of few leaves then spares them the shuffle.
+    last = Written(leaf(plan.select(*LEAF, "whole").join(ends.withColumnsRenamed({"tokens": "size"}).drop("whole"), LEAF, "left")), "mix-last").df
     rows = packed(docs, id=F.col(doc_id), tokens=named["tokens"], **{f"_{k}": named[k] for k in LEAF})
     rows = rows.join(last, [f"_{k}" for k in LEAF]).withColumn("place", _key(F.col("id"), F.col("whole")))
     before = (F.col("place") < F.col("key")) | ((F.col("place") == F.col("key")) & (F.col("tokens") < F.col("size")))
